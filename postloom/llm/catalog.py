@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import simhash, token_counts
 
 QUERIES = {
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
