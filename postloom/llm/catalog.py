@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash, token_counts
+from . import binary_ids, simhash, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op4_token_id_files": binary_ids.op4_token_id_files,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
