@@ -4,9 +4,10 @@ A document's histogram of character classes and its histogram of a language's
 common words are compared with that language's references by Jensen-Shannon
 distance (base 2, square root of the divergence). References are trained from a
 bounded sample of rows labelled good; a document passes if some language is near
-enough in both. Guards: a text with fewer than ``MIN_CHARS`` word characters
-isn't judged by characters, one with fewer than ``MIN_WORDS`` words not by words,
-for short texts are far from any reference by chance alone.
+enough in both. Short texts are far from any reference by chance alone, so each
+limit is a constant plus a slack over the square root of the length, and a text
+with fewer than ``MIN_CHARS`` word characters isn't judged by characters, one with
+fewer than ``MIN_WORDS`` words not by words.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from .shared import read
 
 #: Rows of the training sample, common words of a language, and languages at most.
 SAMPLE_ROWS, COMMON, LANGUAGES = 4000, 48, 16
-MIN_CHARS, MIN_WORDS = 120, 100
-CHAR_LIMIT, WORD_LIMIT = 0.30, 0.62
+MIN_CHARS, MIN_WORDS = 100, 50
+#: Limits of the distances: at any length, and what is added over the root of the length.
+CHAR_LIMIT, CHAR_SLACK = 0.15, 1.25
+WORD_LIMIT, WORD_SLACK = 0.33, 0.35
 WINDOW, LEAST_WORDS = 8, 20
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -140,9 +143,11 @@ def verdict(c: Counts, refs: list[Reference]) -> np.ndarray:
     if not refs:
         return np.ones(len(c.n_words), bool)
     chars, words = distances(c, refs)
-    chars[c.word_chars < MIN_CHARS] = 0
-    words[c.n_words < MIN_WORDS] = 0
-    return ((chars <= CHAR_LIMIT) & (words <= WORD_LIMIT)).any(1)
+    chars_near = chars <= (CHAR_LIMIT + CHAR_SLACK / np.sqrt(np.maximum(c.word_chars, 1)))[:, None]
+    words_near = words <= (WORD_LIMIT + WORD_SLACK / np.sqrt(np.maximum(c.n_words, 1)))[:, None]
+    chars_near[c.word_chars < MIN_CHARS] = True
+    words_near[c.n_words < MIN_WORDS] = True
+    return (chars_near & words_near).any(1)
 
 
 def references(docs: DataFrame, labels: DataFrame) -> list[Reference]:
@@ -208,3 +213,23 @@ def assess(docs: DataFrame, refs: list[Reference]) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return assess(docs, references(docs, read(spark, sf_dir, "labels")))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows that the base rules or the distances reject, columns unchanged.
+
+    Rows are judged by their texts, so rows that repeat a ``doc_id`` are judged apart.
+    """
+    refs, names = references(docs, labels), docs.columns
+    text = names.index("text")
+    kinds = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = blocks.texts(batch.column(text))
+            for lo, hi in blocks.slices(offs):
+                c = measure(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                failed = (c.n_words < LEAST_WORDS) | (100 * c.n_repeat_words > 30 * c.n_words)
+                yield batch.slice(lo, hi - lo).filter(pa.array(~failed & verdict(c, refs)))
+
+    return docs.mapInArrow(run, kinds)
