@@ -227,7 +227,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = END_ID, shards
             n = batch.column(1).to_numpy()
             offs = np.r_[0, np.cumsum(n)] * np.dtype(kind).itemsize
             origin = np.frombuffer(batch.column(2).buffers()[1], np.int32)[batch.column(2).offset]
-            for lo, hi in blocks.slices(offs):
+            for lo, hi in blocks.slices(offs, 1 << 20):
                 part = raw[origin + offs[lo] : origin + offs[hi]].view(kind).astype(np.int32)
                 doc = batch.column(0).slice(lo, hi - lo)
                 shard = np.searchsorted(edges, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left").astype(np.int32)
@@ -262,7 +262,7 @@ def _decoded(spark: SparkSession, out: str, with_ids: bool) -> DataFrame:
         coder = Coder(freq)
         for batch in batches:
             n, crc = batch.column(2).to_numpy(), batch.column(3)
-            for lo, hi in blocks.slices(np.r_[0, np.cumsum(n)], blocks.SLICE_BYTES // 2):
+            for lo, hi in blocks.slices(np.r_[0, np.cumsum(n)], 1 << 19):
                 ids, sizes = coder.decode(batch.column(4).slice(lo, hi - lo).to_pylist())
                 found = _crc32(ids, sizes)
                 if not np.array_equal(sizes, n[lo:hi]) or not found.equals(crc.slice(lo, hi - lo)):

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U = np.uint64
 _MULT = U(0x9E3779B97F4A7C15 | 1)
 _STEP = U(0xD1342543DE82EF95)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .shared import read, release, remove, workspace, written
+from .shared import map_batches, read, release, remove, workspace, written
 
 WINDOW, GRAM = 35, 8
 _SPAN = WINDOW - GRAM + 1
@@ -103,7 +103,7 @@ class FingerprintLog:
     def append(self, rows: DataFrame) -> None:
         """Adds a batch of keyed rows: writes its run, joins it with the history and compacts both."""
         self.turn += 1
-        posted = rows.select("id", "tk", "text").mapInArrow(_postings, "fp long, sh int, id long, tk int, first int, many int")
+        posted = map_batches(rows.select("id", "tk", "text"), _postings, "fp long, sh int, id long, tk int, first int, many int")
         self.postings.append(written(posted, f"{self.base}/postings-{self.turn}"))
         run = self.postings[-1].groupBy("fp").agg(F.count("*").alias("n"))
         if self.history is not None:
@@ -122,6 +122,13 @@ class FingerprintLog:
             posted = posted.union(more)
         return posted.join(self.history.where("n > 1").select("fp"), "fp")
 
+    def drop(self) -> None:
+        """Deletes the index and the stretches, when nothing more will be added."""
+        for k in range(1, self.turn + 1):
+            remove(self.spark, f"{self.base}/postings-{k}")
+        if self._path:
+            remove(self.spark, self._path)
+
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with lists of stretches; gives every window of these."""
@@ -151,13 +158,15 @@ def repeats(docs: DataFrame, batches: list[Column] | None = None) -> DataFrame:
     for condition in batches or [F.lit(True)]:
         log.append(rows.where(condition))
     hits = written(log.hits(), f"{log.base}/hits")
+    log.drop()
+    release(spark)
     kinds = hits.groupBy("fp", "sh").agg(F.count("*").alias("n"), F.min(F.struct("id", "tk", "first", "many")).alias("at"))
     kinds = written(kinds, f"{log.base}/kinds")
     release(spark)
     several = kinds.groupBy("fp").agg(F.count("*").alias("kinds"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("single")).where("kinds > 1 and single > 0").select("fp")
     unsettled = kinds.join(several, "fp").select("at.id", "at.tk", F.struct("fp", "sh", "n", "at.first", "at.many").alias("s"))
     lists = unsettled.groupBy("id", "tk").agg(F.collect_list("s").alias("list"))
-    again = rows.select("id", "tk", "text").join(lists, ["id", "tk"]).select("text", "list").mapInArrow(_windows, "fp long, sh int, n long, place int, wh long")
+    again = map_batches(rows.select("id", "tk", "text").join(lists, ["id", "tk"]).select("text", "list"), _windows, "fp long, sh int, n long, place int, wh long")
     again = written(again, f"{log.base}/windows")
     release(spark)
     found = again.groupBy("fp", "wh").agg(F.sum("n").alias("total")).where("total > 1").select("fp", "wh")
@@ -194,7 +203,7 @@ def remove_repeats(docs: DataFrame, batches: list[Column] | None = None) -> Data
     """``(doc_id, n_words, n_removed, kept)``, a row for each row of ``docs``; ``kept`` is the UTF-8 text of the words left, joined by spaces."""
     found = repeats(docs, batches)
     rows = keyed(docs).join(found, ["id", "tk"], "left").select("doc_id", "text", "marks")
-    return rows.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept binary")
+    return map_batches(rows, _kept, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def batches_by_id(docs: DataFrame, count: int = BATCHES) -> list[Column]:
