@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .shared import read
+from .shared import map_batches, read
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -336,7 +336,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     base[i], spans[i] = _joined(b), _joined([*b, *more])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, rows), *(pa.array(counts[:, k]) for k in range(len(KINDS))), pa.array(base, pa.string()), pa.array(spans, pa.string())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

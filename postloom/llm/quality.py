@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .shared import read
+from .shared import map_batches, read
 
 #: Rows of the training sample, common words of a language, and languages at most.
 SAMPLE_ROWS, COMMON, LANGUAGES = 4000, 48, 16
@@ -173,7 +173,7 @@ def references(docs: DataFrame, labels: DataFrame) -> list[Reference]:
                     key = np.r_[h.view(np.int64), np.arange(len(CLASSES))]
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(key)), pa.array(np.r_[np.zeros(len(h), bool), np.ones(len(CLASSES), bool)]), pa.array(key), pa.array(np.r_[n, c.classes[mine].sum(0)])], ["lang", "class", "key", "n"])
 
-    counts = sample.select("text", "lang").mapInArrow(run, "lang string, class boolean, key long, n long").groupBy("lang", "class", "key").agg(F.sum("n").alias("n"))
+    counts = map_batches(sample.select("text", "lang"), run, "lang string, class boolean, key long, n long").groupBy("lang", "class", "key").agg(F.sum("n").alias("n"))
     counts = counts.withColumn("total", F.expr("sum(n) over (partition by lang, class)")).withColumn("rank", F.expr("row_number() over (partition by lang, class order by n desc, key)"))
     rows = counts.where(F.col("class") | (F.col("rank") <= COMMON)).orderBy("lang", "class", "rank").limit(LANGUAGES * (COMMON + len(CLASSES))).collect()
     refs = []
@@ -207,7 +207,7 @@ def assess(docs: DataFrame, refs: list[Reference]) -> DataFrame:
                 cols = [batch.column(0).slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words)), pa.array(failed), pa.array(~failed & verdict(c, refs))]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SCHEMA)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, _SCHEMA)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +215,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(docs, references(docs, read(spark, sf_dir, "labels")))
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the base rules or the distances reject, columns unchanged.
 
     Rows are judged by their texts, so rows that repeat a ``doc_id`` are judged apart.
@@ -232,4 +232,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
                 failed = (c.n_words < LEAST_WORDS) | (100 * c.n_repeat_words > 30 * c.n_words)
                 yield batch.slice(lo, hi - lo).filter(pa.array(~failed & verdict(c, refs)))
 
-    return docs.mapInArrow(run, kinds)
+    return map_batches(docs, run, kinds)

@@ -105,11 +105,12 @@ def _band(length: Column) -> Column:
     return sum((F.when(length >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(0))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, assign, access, hex, tokens)``: base spans, and all tokens with band, bin, whether a word."""
+def scan(docs: DataFrame, *keep: Column) -> DataFrame:
+    """``(doc_id, assign, access, hex, tokens)`` and the columns ``keep``: base spans, and all tokens with band, bin, whether a word."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tk"), text.alias("t"))
-    rows = rows.select("doc_id", "tk", matches(F.col("t"), ASSIGN).alias("assign"), matches(F.col("t"), ACCESS).alias("access"), matches(F.col("t"), HEX).alias("hex"), matches(F.col("t"), TOKEN).alias("tokens"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), *keep)
+    keep = rows.columns[2:]
+    rows = rows.select("doc_id", *keep, matches(F.col("t"), ASSIGN).alias("assign"), matches(F.col("t"), ACCESS).alias("access"), matches(F.col("t"), HEX).alias("hex"), matches(F.col("t"), TOKEN).alias("tokens"))
     assign = F.filter("assign", lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 12)
 
     def rate(x: Column) -> Column:
@@ -117,7 +118,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return F.struct(x["a"].alias("a"), x["b"].alias("b"), _band(x["b"] - x["a"]).alias("band"), F.transform(F.array(p), lambda q: F.struct(_bin(q).alias("bin"), (q >= FLOOR).alias("random")))[0].alias("p"), x["m"].rlike("^[A-Za-z][a-z]*$").alias("word"))
 
     place = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))
-    return rows.select("doc_id", "tk", F.transform(assign, place).alias("assign"), F.transform("access", place).alias("access"), F.transform("hex", place).alias("hex"), F.transform("tokens", rate).alias("tokens"))
+    return rows.select("doc_id", *keep, F.transform(assign, place).alias("assign"), F.transform("access", place).alias("access"), F.transform("hex", place).alias("hex"), F.transform("tokens", rate).alias("tokens"))
 
 
 def thresholds(scanned: DataFrame) -> list[int]:
@@ -138,30 +139,56 @@ def thresholds(scanned: DataFrame) -> list[int]:
     return out
 
 
+def _entries(i: int, kind: str) -> Column:
+    return F.transform(kind, lambda x: F.struct(x["a"].alias("a"), F.lit(i).alias("i"), x["b"].alias("b"), F.lit(kind).alias("k")))
+
+
 def _joined(kinds: tuple[str, ...]) -> Column:
     """All spans of the columns ``kinds`` as ``kind:start:end``, by start and then in the order of ``kinds``."""
 
-    def entries(i: int, kind: str) -> Column:
-        return F.transform(kind, lambda x: F.struct(x["a"].alias("a"), F.lit(i).alias("i"), x["b"].alias("b"), F.lit(kind).alias("k")))
-
-    spans = F.array_sort(F.concat(*(entries(i, k) for i, k in enumerate(kinds))))
+    spans = F.array_sort(F.concat(*(_entries(i, k) for i, k in enumerate(kinds))))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["k"], x["a"].cast("string"), x["b"].cast("string"))), ",")
 
 
+def _settled(scanned: DataFrame) -> DataFrame:
+    """``scanned`` with the column ``random``: the tokens that the battery adds, apart from those that overlap a base span."""
+    limits = F.array(*(F.lit(x) for x in thresholds(scanned)))
+    added = F.filter("tokens", lambda t: ~t["word"] & t["p"]["random"] & (t["p"]["bin"] >= F.element_at(limits, t["band"] + 1)))
+    rows = scanned.withColumn("base", F.concat("assign", "access", "hex")).withColumn("added", added)
+    apart = F.filter("added", lambda t: ~F.exists("base", lambda x: (x["a"] < t["b"]) & (t["a"] < x["b"])))
+    return rows.withColumn("random", F.transform(apart, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b")))).drop("base", "added", "tokens")
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """``(doc_id, tk, assign, access, hex, random)``: spans of each kind for every row of ``docs``.
+    """``(doc_id, assign, access, hex, random)``: spans of each kind for every row of ``docs``.
 
-    ``random`` has what the battery adds, apart from tokens that overlap a base span. A null or empty
-    text has no spans; repeated rows repeat; ``tk`` is a hash of the text. Without words of a band's
-    lengths in the corpus the null of that band is empty, and chance counts as certain.
+    A null or empty text has no spans and repeated rows repeat. Without words of a band's lengths in
+    the corpus the null of that band is empty, and chance counts as certain.
     """
-    scanned = written(scan(docs), workspace(docs.sparkSession, "secrets"))
-    limits = F.array(*(F.lit(x) for x in thresholds(scanned)))
-    base = F.concat("assign", "access", "hex")
-    added = F.filter("tokens", lambda t: ~t["word"] & t["p"]["random"] & (t["p"]["bin"] >= F.element_at(limits, t["band"] + 1)))
-    added = F.filter(added, lambda t: ~F.exists("base", lambda x: (x["a"] < t["b"]) & (t["a"] < x["b"])))
-    rows = scanned.withColumn("base", base)
-    return rows.select("doc_id", "tk", "assign", "access", "hex", F.transform(added, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b"))).alias("random"))
+    return _settled(written(scan(docs), workspace(docs.sparkSession, "secrets")))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span replaced by its kind in brackets; overlapping spans become one, named by the first.
+
+    Columns stay as they are, but for ``text`` and, where there is one, ``n_chars`` of changed rows.
+    """
+    names = docs.columns
+    row = F.struct(*(docs[c].alias(c) for c in names)).alias("row")
+    rows = _settled(written(scan(docs, row), workspace(docs.sparkSession, "secrets")))
+    spans = F.array_sort(F.concat(*(_entries(i, k) for i, k in enumerate(KINDS))))
+    rows = rows.select("row", spans.alias("spans"))
+    text = F.col("row.text").cast("string")
+
+    def cut(s: Column, x: Column) -> Column:
+        apart = F.struct(x["b"].alias("pos"), F.concat(s["out"], F.substring(text, s["pos"] + 1, x["a"] - s["pos"]), F.lit("["), x["k"], F.lit("]")).alias("out"))
+        return F.when(x["a"] >= s["pos"], apart).otherwise(F.struct(F.greatest(s["pos"], x["b"]).alias("pos"), s["out"].alias("out")))
+
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    changed = F.aggregate("spans", start, cut, lambda s: F.concat(s["out"], F.substring(text, s["pos"] + 1, F.char_length(text))))
+    rows = rows.withColumn("changed", F.when(F.size("spans") > 0, changed))
+    new = {"text": F.coalesce("changed", text), "n_chars": F.coalesce(F.char_length("changed"), F.col("row.n_chars") if "n_chars" in names else F.lit(None))}
+    return rows.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"row.`{c}`")).alias(c) for c in names))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
