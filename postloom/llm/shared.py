@@ -25,8 +25,14 @@ def workspace(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written as a table at ``path`` and read again: its lineage ends there."""
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
+    """``df`` written as a table at ``path`` and read again: its lineage ends there, and its shuffle files go."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
