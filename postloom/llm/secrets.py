@@ -150,9 +150,9 @@ def _joined(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["k"], x["a"].cast("string"), x["b"].cast("string"))), ",")
 
 
-def _settled(scanned: DataFrame) -> DataFrame:
+def _settled(scanned: DataFrame, least_bins: list[int]) -> DataFrame:
     """``scanned`` with the column ``random``: the tokens that the battery adds, apart from those that overlap a base span."""
-    limits = F.array(*(F.lit(x) for x in thresholds(scanned)))
+    limits = F.array(*(F.lit(x) for x in least_bins))
     added = F.filter("tokens", lambda t: ~t["word"] & t["p"]["random"] & (t["p"]["bin"] >= F.element_at(limits, t["band"] + 1)))
     rows = scanned.withColumn("base", F.concat("assign", "access", "hex")).withColumn("added", added)
     apart = F.filter("added", lambda t: ~F.exists("base", lambda x: (x["a"] < t["b"]) & (t["a"] < x["b"])))
@@ -165,7 +165,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     A null or empty text has no spans and repeated rows repeat. Without words of a band's lengths in
     the corpus the null of that band is empty, and chance counts as certain.
     """
-    return _settled(written(scan(docs), workspace(docs.sparkSession, "secrets")))
+    scanned = written(scan(docs), workspace(docs.sparkSession, "secrets"))
+    return _settled(scanned, thresholds(scanned))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -175,7 +176,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     row = F.struct(*(docs[c].alias(c) for c in names)).alias("row")
-    rows = _settled(written(scan(docs, row), workspace(docs.sparkSession, "secrets")))
+    # Texts are scanned twice rather than written once more: the first scan gives the thresholds only.
+    rows = _settled(scan(docs, row), thresholds(scan(docs)))
     spans = F.array_sort(F.concat(*(_entries(i, k) for i, k in enumerate(KINDS))))
     rows = rows.select("row", spans.alias("spans"))
     text = F.col("row.text").cast("string")

@@ -52,17 +52,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+#: Rows that a reader or a Python worker holds at once: texts are long, and batches are held whole.
+BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
 
+def bound_batches(spark: SparkSession) -> None:
+    for key, most in BATCH_ROWS.items():
+        if not 0 < int(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
 
-#: Rows of an Arrow batch that goes to a Python worker; texts are long, and both sides hold whole batches.
-BATCH_ROWS = 1000
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` over batches of bounded rows."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(df.sparkSession)
     return df.mapInArrow(function, schema)
