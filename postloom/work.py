@@ -21,18 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there, and a lost executor loses nothing."""
+def overwritten(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
+    """``df`` written to ``path`` and read again: its lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a new table in the shared folder."""
+    return overwritten(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
