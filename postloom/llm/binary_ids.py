@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..work import partitions
 from . import blocks
 from .pretokens import pretokens
-from .shared import partitions, read, release, remove, workspace, written
+from .shared import map_batches, read, release, remove, workspace, written
 
 BLOCK, LANES = 1024, 4
 #: Frequencies sum to 2**SCALE; states stay in [2**LOW, 2**(LOW + 32)).
@@ -182,7 +183,7 @@ def _tokenise(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
                 sizes = sizes + 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(_packed(ids, sizes, kind), pa.binary())], ["doc_id", "n_ids", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_ids long, ids binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_ids long, ids binary")
 
 
 def _tally(ids: DataFrame, size: int, kind: str) -> np.ndarray:

@@ -9,9 +9,9 @@ p-value of the three, times three, is the token's.
 
 A token is reported if it is consistent with randomness (``p >= FLOOR``) and its
 p-value is a discovery against ordinary words: runs of letters alone, of which the
-corpus has plenty, give the null distribution, and a step-up rule on binned
-p-values holds the share of false discoveries at ``RATE`` within each band of
-lengths. Only these bins come to the driver, a fixed number of rows.
+corpus has plenty, give the null distribution of their length and below, and a
+step-up rule on binned p-values holds the share of false discoveries at ``RATE``
+within each band of lengths. Only these bins come to the driver, a fixed number of rows.
 """
 
 from __future__ import annotations
@@ -127,7 +127,8 @@ def thresholds(scanned: DataFrame) -> list[int]:
     counts = {(r["band"], r["bin"], r["word"]): r["count"] for r in each.groupBy("band", "bin", "word").count().collect()}
     out = []
     for band in range(len(BANDS)):
-        words = [counts.get((band, b, True), 0) for b in range(BINS)]
+        # Shorter words look random more easily: with them the null of a band is larger and errs on the safe side.
+        words = [sum(counts.get((k, b, True), 0) for k in range(band + 1)) for b in range(BINS)]
         others = [counts.get((band, b, False), 0) for b in range(BINS)]
         best = BINS
         for b in range(BINS - 1, -1, -1):
@@ -162,7 +163,7 @@ def _settled(scanned: DataFrame, least_bins: list[int]) -> DataFrame:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``(doc_id, assign, access, hex, random)``: spans of each kind for every row of ``docs``.
 
-    A null or empty text has no spans and repeated rows repeat. Without words of a band's lengths in
+    A null or empty text has no spans and repeated rows repeat. Without words up to a band's lengths in
     the corpus the null of that band is empty, and chance counts as certain.
     """
     scanned = written(scan(docs), workspace(docs.sparkSession, "secrets"))

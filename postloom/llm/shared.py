@@ -6,36 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
-LOCAL_DEFAULT = "file:///tmp/postloom-checkpoints"
+from ..work import overwritten as written
+from ..work import shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = LOCAL_DEFAULT
-        spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+__all__ = ["map_batches", "read", "release", "remove", "workspace", "written"]
 
 
 def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written as a table at ``path`` and read again: its lineage ends there, and its shuffle files go."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")
-    try:
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
-    finally:
-        conf.set(key, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a superseded table through Spark's own file system layer."""
     jvm = spark.sparkContext._jvm
@@ -48,10 +28,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 #: Rows that a reader or a Python worker holds at once: texts are long, and batches are held whole.
 BATCH_ROWS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.parquet.columnarReaderBatchSize": 512}
 

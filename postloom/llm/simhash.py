@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..work import partitions
 from . import blocks
-from .components import components
-from .shared import partitions, read, workspace, written
+from .shared import map_batches, read, workspace, written
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (shift, width) of the three segments, from the low bits up.
@@ -80,7 +81,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp)``: the fingerprint as a signed long, for every row of ``docs``."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _fingerprint_batches, "doc_id long, fp long")
 
 
 def _variants(segments: tuple[tuple[int, int], ...]) -> list:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .pretokens import pretokens
-from .shared import read
+from .shared import map_batches, read
 
 LIMIT = 512
 
@@ -46,7 +46,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 n = _count(path, raw, offs[lo : hi + 1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(offs[lo + 1 : hi + 1] - offs[lo:hi]), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

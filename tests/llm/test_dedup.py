@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from postloom.llm import simhash, substring_dedup
-from postloom.llm.components import components
+from postloom.operators.graph import components
 
 from .helpers import awkward, frame, words
 
