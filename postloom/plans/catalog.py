@@ -489,7 +489,7 @@ def header_fields(spark: S, d: str) -> DataFrame:
     return m.select("idx", "msgid", "epoch", "realname", "subject", F.array_join("refs", " ").alias("refs"), F.md5("body").alias("body"))
 
 
-@_query("SELECT idx, CASE idx % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS level FROM ev")
+@_query("SELECT idx, CAST(CASE idx % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS level FROM ev")
 def quote_levels(spark: S, d: str) -> DataFrame:
     mark = F.element_at(F.array(F.lit("text"), F.lit("> a"), F.lit("AB>> b"), F.lit(": > c :)")), (F.col("idx") % 4 + 1).cast("int"))
     return tables.event_links(spark, d).select("idx", text.quote_level(mark).cast("long").alias("level"))
