@@ -118,6 +118,8 @@ def contaminated() -> Column:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows, columns unchanged."""
     bad = overlaps(docs, benchmark).where(contaminated()).select(F.col("doc_id").alias("_bad_id"), F.col("tk").alias("_bad_text")).distinct()
+    # As a table its size is known before the join is planned: while it is small, no text is shuffled.
+    bad = written(bad, workspace(docs.sparkSession, "contaminated"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.hash(docs["text"]) == bad["_bad_text"]), "left_anti")
 
 

@@ -231,4 +231,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows that repeat a ``doc_id`` all stay or all go; a row with a null ``doc_id`` stays.
     """
     got = groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    # As a table its size is known before the join is planned: while it is small, no text is shuffled.
+    got = written(got, workspace(docs.sparkSession, "simhash-dropped"))
     return docs.join(got, docs["doc_id"] == got["_dropped"], "left_anti")
