@@ -159,7 +159,8 @@ def references(docs: DataFrame, labels: DataFrame) -> list[Reference]:
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and text is not null")
-    sample = sample.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # One row of each chosen id, the least of those that repeat it.
+    sample = sample.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.lang", "row.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
