@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import quote_level, tokens, unquoted
@@ -120,6 +120,6 @@ def resorted(index: DataFrame, conn: DataFrame, order: DataFrame | None = None)
 
 
 def first_hits(index: DataFrame) -> DataFrame:
-    """The best hit of every posting, for previews."""
-    w = Window.partitionBy("word").orderBy("idx")
-    return index.withColumn("n", F.row_number().over(w)).where("n = 1").select("word", "idx", F.get("hits", F.lit(0)).alias("hit"))
+    """``(word, idx, hit)``: the first message of every word and its best hit there."""
+    first = index.groupBy("word").agg(F.min(F.struct("idx", F.get("hits", F.lit(0)).alias("hit"))).alias("f"))
+    return first.select("word", "f.idx", "f.hit")

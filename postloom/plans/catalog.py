@@ -562,3 +562,57 @@ def archive_info(spark: S, d: str) -> DataFrame:
     path = f"{work.shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     archive.build(_raw(spark, d).select("idx", F.encode("raw", "UTF-8").alias("content")), path, group="talk")
     return archive.Archive.open(spark, path).info()
+
+
+@_query(f"SELECT doc_id AS idx, array_to_string(list_filter(list_transform(regexp_extract_all(lower(text), '{text.UNICODE_WORD.replace("'", "''")}'), lambda w: rtrim(w, '_')), lambda w: length(w) BETWEEN 3 AND 13), ' ') AS words FROM documents")
+def tokens_unicode(spark: S, d: str) -> DataFrame:
+    return tables.documents(spark, d).select("idx", F.array_join(text.tokens(F.col("body"), unicode=True), " ").alias("words"))
+
+
+@_query("SELECT count(*) FILTER (idx % 3 = 1) AS n_bad, count(*) FILTER (idx % 3 = 2) AS n_recovered, CAST(0 AS BIGINT) AS n_time_travel, count(*) FILTER (parent IS NULL AND idx % 1000 > 0) AS n_broken_refs FROM conv")
+def date_stats(spark: S, d: str) -> DataFrame:
+    raw = _raw(spark, d).withColumn("raw", F.when(F.col("idx") % 3 == 0, F.col("raw")).when(F.col("idx") % 3 == 1, F.regexp_replace("raw", "(?m)^Date: .*$", "Date: junk")).otherwise(F.regexp_replace("raw", "(?m)^Date: .*$", "Date: junk\nNNTP-Posting-Date: 3 Jan 1999 00:00 GMT")))
+    m = headers.messages(raw)
+    return charts.date_stats(m.join(threads.parents(m), "idx"))
+
+
+@_query("SELECT source AS name, count(*) AS n FROM documents WHERE contains(source, 'c1') GROUP BY source")
+def archive_names(spark: S, d: str) -> DataFrame:
+    """Archives that have no name of their own take the tail of their path; those with a part of it are counted."""
+    paths = tables.documents(spark, d).select(F.concat(F.lit("/data/"), "archive").alias("path"), F.lit(None).cast("string").alias("name"))
+    return setops.named_like(galaxy.archive_names(paths), "c1").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT idx % 2 AS archive_id, 'a' || idx % 2 AS name, TRUE AS available, idx % 2 = 0 AS \"current\", depth, (SELECT count(*) FROM ev k WHERE k.parent = r.idx) AS n_children, total - 1 AS descendants FROM rooted r JOIN sized USING (idx) WHERE idx = 1")
+def warp_list(spark: S, d: str) -> DataFrame:
+    e = tables.event_links(spark, d)
+    kids = threads.children(e).select("idx", F.size("children").cast("long").alias("n_children"))
+    m = threads.roots(e).join(kids, "idx", "left").select(F.col("idx").cast("string").alias("msgid"), (F.col("idx") % 2).alias("archive"), "depth", F.coalesce("n_children", F.lit(0).cast("long")).alias("n_children"), F.col("total").alias("child_total"))
+    archives = m.select(F.col("archive").alias("archive_id")).distinct().select("archive_id", F.concat(F.lit("a"), F.col("archive_id").cast("string")).alias("name"), F.lit(True).alias("available"))
+    return galaxy.warp_list(m, archives, "1", 0)
+
+
+@_query("SELECT min(idx) AS idx FROM conv WHERE author <> 'user' AND idx > 5000")
+def next_unread(spark: S, d: str) -> DataFrame:
+    m = tables.conversations(spark, d)
+    return setops.next_unread(m, m.where("author = 'user'"), 5000)
+
+
+@_query(None)
+def training_order(spark: S, d: str) -> DataFrame:
+    m = tables.conversations(spark, d)
+    return setops.shuffled(m.select("idx"), 7)
+
+
+@_query("SELECT word, r[1] AS type, r[2] AS pos, idx FROM (SELECT word, idx, [type, pos] AS r FROM (SELECT top.*, row_number() OVER (PARTITION BY word ORDER BY idx) AS n FROM top JOIN df USING (word) WHERE top.r = 1) WHERE n = 1)")
+def first_hits(spark: S, d: str) -> DataFrame:
+    return lexicon.first_hits(_index(spark, d)).select("word", "idx", F.col("hit.type").cast("long").alias("type"), F.col("hit.pos").cast("long").alias("pos"))
+
+
+@_query("SELECT word, idx + 7 AS idx, CAST(0 AS BIGINT) AS child_bucket, hitnum FROM post")
+def resorted_index(spark: S, d: str) -> DataFrame:
+    """The index after renumbering, of an archive whose threads fell apart."""
+    index = _index(spark, d)
+    order = index.select("idx").distinct().select("idx", (F.col("idx") + 7).alias("new_idx"))
+    conn = order.select(F.col("new_idx").alias("idx"), F.lit(1).cast("long").alias("child_total"))
+    return lexicon.resorted(index, conn, order).select("word", "idx", F.col("child_bucket").cast("long").alias("child_bucket"), F.col("hitnum").cast("long").alias("hitnum"))
