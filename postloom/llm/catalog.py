@@ -17,5 +17,6 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 ORACLES = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op8_benchmark_decontamination": decontamination.OP8_SQL,
 }
