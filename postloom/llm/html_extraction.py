@@ -93,10 +93,12 @@ _NESTED = frozenset("article main nav header footer aside form section div ul ol
 _OTHER_TAGS = frozenset("nav footer aside form dialog menu".split())
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog form menu".split())
 _OTHER_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs
+    """ad ads adv adbox adslot adunit advert adverts advertisement advertising sponsor sponsored sponsors promo promotion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs
     footer header masthead banner cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus reply replies respond
-    share sharing social related recommended newsletter subscribe subscription widget widgets login signup signin register form search toolbar pager pagination tags""".split()
+    share sharing social related recommended newsletter subscribe subscription paywall widget widgets login signup signin register form search toolbar topbar bottombar menubar crumbs discussion pager pagination tags""".split()
 )
+#: An article of its own kind inside another: what its class must say to count as something else.
+_OTHER_ARTICLES = frozenset("comment comments reply replies response related teaser promo sponsored ad advert".split())
 _MAIN_WORDS = frozenset("article content main post entry story maincontent articlebody".split())
 
 _MARKUP = re.compile(
@@ -116,7 +118,7 @@ def _place(tag: str, attrs: str, inside: bool, marked: bool) -> tuple[bool, bool
             role = value.lower()
         else:
             words.update(w.lower() for w in _NAME.findall(value))
-    if tag in _OTHER_TAGS or role in _OTHER_ROLES or (tag == "header" and not inside) or (tag not in ("article", "main", "body", "html") and words & _OTHER_WORDS):
+    if tag in _OTHER_TAGS or role in _OTHER_ROLES or (tag == "header" and not inside) or words & (_OTHER_ARTICLES if tag == "article" else frozenset() if tag in ("main", "body", "html") else _OTHER_WORDS):
         marked = True
     if tag in ("article", "main") or role == "main" or (words & _MAIN_WORDS and not words & _OTHER_WORDS):
         inside = True
@@ -129,12 +131,12 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
-    inside = marked = link = False
+    inside = marked = link = own = False
 
     def flush() -> None:
         words = html.unescape("".join(text)).split()
         if words:
-            out.append((" ".join(words), len(words), min(len(html.unescape("".join(linked)).split()) / len(words), 1.0), inside, marked))
+            out.append((" ".join(words), len(words), min(len(html.unescape("".join(linked)).split()) / len(words), 1.0), inside, marked or own))
         text.clear()
         linked.clear()
 
@@ -156,7 +158,10 @@ def flat_blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
         if tag in _INLINE:
             continue
         flush()
+        own = False
         if tag not in _NESTED:
+            # A paragraph's own mark holds up to the next block.
+            own = not m["close"] and bool(m["attrs"].strip()) and _place(tag, m["attrs"], inside, False)[1]
             continue
         if not m["close"]:
             stack.append((tag, inside, marked))

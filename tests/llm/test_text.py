@@ -172,6 +172,11 @@ def test_main_text_of_pages(spark):
     assert next(r.text for r in got if r.page_id is None).startswith("some long text")
 
 
+def test_marks_of_paragraphs_and_inner_articles():
+    page = '<body class="has-sidebar"><article class="post"><h1>T</h1><p>Hello there</p><p class="ad">Buy now</p><p class="lead">Lead</p><article class="comment"><p>great post</p></article><li class="notice">cookie</li><p id="p1">end</p></article><div class="comments"><article><p>hm</p></article></div>'
+    assert html_extraction.main_text(page) == "T\nHello there\nLead\nend"
+
+
 def test_pieces_round_trip_and_repeat(spark):
     rows = [*awkward(6), (300, "▁ a▁b  \n\t 日本 ́😀"), (301, "x" * 5000)]
     docs = frame(spark, rows)
