@@ -66,5 +66,5 @@ def warp_list(messages: DataFrame, archives: DataFrame, msgid: str, current: int
 
 def resolve(messages: DataFrame, archives: DataFrame) -> DataFrame:
     """``(msgid, archive)``: the first available archive of each message."""
-    ready = F.broadcast(archives.where("available").select(F.col("archive_id").alias("archive")))
+    ready = archives.where("available").select(F.col("archive_id").alias("archive"))
     return messages.join(ready, "archive").groupBy("msgid").agg(F.min("archive").alias("archive"))

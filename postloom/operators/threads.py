@@ -48,8 +48,10 @@ def thread_order(links: DataFrame) -> DataFrame:
     the way to the root, so no path is ever built.
     """
     rows = links.join(ascend(links.select("idx", "parent")).select("idx", "total"), "idx")
-    before = F.sum("total").over(Window.partitionBy("parent").orderBy("epoch", "idx").rowsBetween(Window.unboundedPreceding, -1))
-    inner = rows.where("parent is not null").select("idx", "parent", (1 + F.coalesce(before, F.lit(0))).alias("step"))
+    # One ordered sum over all siblings, less where each family begins: a parent of very many children is no task's own.
+    sibling = running_sum(rows.where("parent is not null").select("idx", "parent", "epoch", "total"), ["parent", "epoch", "idx"], "total", "before")
+    family = sibling.groupBy("parent").agg(F.min("before").alias("begin"))
+    inner = sibling.join(family, "parent").select("idx", "parent", (1 + F.col("before") - F.col("begin")).alias("step"))
     roots = running_sum(rows.where("parent is null").select("idx", "epoch", "total"), ["epoch", "idx"], "total", "step").select("idx", F.lit(None).cast("long").alias("parent"), "step")
     return ascend(roots.union(inner)).select("idx", F.col("path").alias("new_idx"))
 

@@ -1,7 +1,8 @@
 """Ranked search: terms are parsed on the driver, everything else is one plan over the index.
 
-The plan: the query's words (a few rows) join the index by word; one shuffle on the
-message number brings a message's words together; rank arithmetic is expressions.
+The plan: the query's words, a local table of known size, join the index by word; one
+shuffle on the message number brings a message's words together; rank arithmetic is
+expressions.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def query_words(index: DataFrame, terms: list[Term], flags: Flags, similar: Data
     words = spark.createDataFrame(rows, schema)
     if flags.fuzzy and similar is not None and rows:
         weight = F.element_at(F.array(*(F.lit(w) for w in FUZZY_WEIGHTS)), F.col("dist"))
-        near = similar.join(F.broadcast(words.where("not strict")), "word").select(F.col("similar").alias("word"), "grp", "must", "cant", "field", weight.alias("mod"), "strict")
+        near = similar.join(words.where("not strict"), "word").select(F.col("similar").alias("word"), "grp", "must", "cant", "field", weight.alias("mod"), "strict")
         near = near.join(words.select("word"), "word", "left_anti").groupBy("word").agg(F.min(F.struct("grp", "must", "cant", "field", "mod", "strict")).alias("x")).select("word", "x.*")
         words = words.unionByName(near)
     return words.drop("strict"), groups, len(terms) - groups
@@ -127,7 +128,7 @@ def search(index: DataFrame, query: str, flags: Flags | None = None, similar: Da
     words, groups, missing = query_words(index, terms, flags, similar)
     field = F.lit(only) if only else F.col("field")
     kind = F.element_at(F.create_map(*(F.lit(x) for i, t in enumerate(HIT_TYPES) for x in (t, i))), field)
-    rows = index.join(F.broadcast(words), "word")
+    rows = index.join(words, "word")
     rows = rows.where(field.isNull() | F.exists("hits", lambda h: h["type"] == kind))
     rows = rows.withColumn("score", _word_score(flags.simple))
     whole = groups and words.select("word").limit(2).count()
