@@ -21,7 +21,7 @@ import numpy as np
 from . import blocks
 
 #: Entries that a worker keeps beside the vocabulary; beyond them it starts afresh.
-KEPT = 1_200_000
+KEPT = 2_000_000
 _BITS = 22
 
 _LETTER, _DIGIT, _BLANK, _OTHER = 1, 2, 3, 4
