@@ -118,3 +118,16 @@ def test_rendering(spark):
 def test_utf8_table(spark):
     raw = spark.createDataFrame([(0, bytearray(RAW.encode())), (1, None)], "idx long, content binary")
     assert {r.idx: r.raw[:5] for r in mime.to_utf8(raw).collect()} == {0: "From:", 1: ""}
+
+
+def test_functions_in_sql_are_those_of_columns(spark):
+    from postloom.functions import registry
+
+    assert "parse_message_date" in registry.register(spark)
+    values = ["Re: RE[2]: it's_ok 1,000.5", "> > a <b>", "a@b", "50% \"q\"", None]
+    spark.createDataFrame([(v,) for v in values], "v string").createOrReplaceTempView("values_of_s")
+    for name, f in (("subject_kill", text.subject_kill), ("rot13", text.rot13), ("html_escape", text.html_escape), ("uri_encode", text.uri_encode), ("is_msgid", text.is_msgid), ("quote_level", text.quote_level), ("index_words", text.tokens)):
+        got = spark.sql(f"SELECT {name}(v) AS x FROM values_of_s").collect()
+        want = spark.table("values_of_s").select(f(F.col("v")).alias("x")).collect()
+        assert got == want, name
+    assert spark.sql("SELECT parse_message_date('Date: 5 Jan 1999 12:00:00 GMT').epoch AS e").first().e == 915537600
