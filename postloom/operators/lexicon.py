@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import quote_level, tokens, unquoted
 from ..schema import HIT_MASKS, HIT_TYPES, HIT_WEIGHTS, HITS_MOST, MESSAGES_LEAST
+from ..work import kept
 
 _HIT = "array<struct<type:int,pos:int>>"
 
@@ -83,9 +84,11 @@ def postings(messages: DataFrame, conn: DataFrame | None = None, unicode: bool =
     ranked = F.concat(F.filter("all", lambda h: ~saturated(h)), F.array_distinct(F.filter("all", saturated)))
     order = F.transform(F.array_sort(F.transform(ranked, lambda h: F.struct((-hit_rank(h["type"], h["pos"])).alias("r"), h["type"].alias("type"), h["pos"].alias("pos")))), lambda h: F.struct(h["type"].alias("type"), h["pos"].alias("pos")))
     grouped = grouped.select("word", "idx", F.slice(order, 1, HITS_MOST).cast(_HIT).alias("hits"))
+    # Both uses read the table: texts are cut into words once.
+    grouped = kept(grouped, "words")
     spread = grouped.groupBy("word").agg(F.count("*").alias("df")).where(F.col("df") >= MESSAGES_LEAST).select("word")
-    kept = grouped.join(spread, "word").join(total, "idx")
-    return kept.select("word", "idx", child_bucket(F.col("child_total")).alias("child_bucket"), F.size("hits").alias("hitnum"), "hits")
+    rows = grouped.join(spread, "word").join(total, "idx")
+    return rows.select("word", "idx", child_bucket(F.col("child_total")).alias("child_bucket"), F.size("hits").alias("hitnum"), "hits")
 
 
 def field_stats(index: DataFrame) -> DataFrame:

@@ -94,7 +94,8 @@ def _conn(spark: S, d: str) -> DataFrame:
 
 
 def _index(spark: S, d: str) -> DataFrame:
-    return lexicon.postings(tables.conversations(spark, d), _conn(spark, d))
+    """The index as the stored table that it is in an archive."""
+    return work.kept(lexicon.postings(tables.conversations(spark, d), _conn(spark, d)), "index")
 
 
 # Set operations and filters.
