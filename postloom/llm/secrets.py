@@ -7,11 +7,11 @@ below the middle of the alphabet, and serial correlation at lag one. Statistics
 are standardised by their exact mean and variance at the token's length; the least
 p-value of the three, times three, is the token's.
 
-A token is reported if it is consistent with randomness (``p >= FLOOR``) and its
-p-value is a discovery against ordinary words: runs of letters alone, of which the
-corpus has plenty, give the null distribution of their length and below, and a
-step-up rule on binned p-values holds the share of false discoveries at ``RATE``
-within each band of lengths. Only these bins come to the driver, a fixed number of rows.
+A token is reported if it is consistent with randomness (``p >= FLOOR``) and more so
+than ordinary tokens are: its p-value must reach the limit of its length and encoding,
+which at most a share ``RATE`` of ordinary tokens of that length reach. The limits are
+constants, so a token is judged alike in any corpus. Runs of letters alone are never
+reported.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read, workspace, written
+from .shared import read
 
 #: The base patterns.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -28,8 +28,12 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST, FLOOR, RATE = 20, 0.001, 0.02
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
-#: Least lengths of the bands, and bins of the logarithm of the p-value.
-BANDS, BINS = (20, 24, 32, 48), 64
+#: Least lengths of the bands, and the limit of the p-value in each: for alphabets of one case with digits, and for all
+#: others. Common words of four languages, joined to the least length of a band in the forms that programs and addresses
+#: give them (with digits or a year, capitals, separators), have less in all but ``RATE`` of the cases, whichever the form.
+#: A limit above 1 is never reached: short tokens of one case can't be told from words.
+BANDS = (20, 24, 32, 48)
+ONE_CASE, MIXED = (2.0, 2.0, 1.0, 0.056), (1.0, 0.316, 0.0316, FLOOR)
 _SPANS = "array<struct<a:int,b:int,m:string>>"
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -96,17 +100,15 @@ def randomness(token: Column) -> Column:
     return F.element_at(F.transform(F.array(whole), score), 1)
 
 
-def _bin(p: Column) -> Column:
-    """Bins of rising p-value: quarters of a power of ten, the last for the largest."""
-    return F.greatest(F.lit(0), F.lit(BINS - 1) + F.floor(4 * F.log10(F.greatest(p, F.lit(1e-30)))).cast("int"))
-
-
-def _band(length: Column) -> Column:
-    return sum((F.when(length >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(0))
+def _limit(token: Column) -> Column:
+    """Least p-value at which a token is reported."""
+    at = sum((F.when(F.length(token) >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(1))
+    one_case = token.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$")
+    return F.when(one_case, F.element_at(F.array(*(F.lit(x) for x in ONE_CASE)), at)).otherwise(F.element_at(F.array(*(F.lit(x) for x in MIXED)), at))
 
 
 def scan(docs: DataFrame, *keep: Column) -> DataFrame:
-    """``(doc_id, assign, access, hex, tokens)`` and the columns ``keep``: base spans, and all tokens with band, bin, whether a word."""
+    """``(doc_id, assign, access, hex, tokens)`` and the columns ``keep``: base spans, and all tokens with whether the battery reports them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), *keep)
     keep = rows.columns[2:]
@@ -114,32 +116,13 @@ def scan(docs: DataFrame, *keep: Column) -> DataFrame:
     assign = F.filter("assign", lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 12)
 
     def rate(x: Column) -> Column:
-        p = randomness(x["m"])
-        return F.struct(x["a"].alias("a"), x["b"].alias("b"), _band(x["b"] - x["a"]).alias("band"), F.transform(F.array(p), lambda q: F.struct(_bin(q).alias("bin"), (q >= FLOOR).alias("random")))[0].alias("p"), x["m"].rlike("^[A-Za-z][a-z]*$").alias("word"))
+        p, word = randomness(x["m"]), x["m"].rlike("^[A-Za-z][a-z]*$")
+        return F.struct(x["a"].alias("a"), x["b"].alias("b"), (~word & (p >= F.greatest(F.lit(FLOOR), _limit(x["m"])))).alias("random"))
 
     place = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))
     return rows.select("doc_id", *keep, F.transform(assign, place).alias("assign"), F.transform("access", place).alias("access"), F.transform("hex", place).alias("hex"), F.transform("tokens", rate).alias("tokens"))
 
 
-def thresholds(scanned: DataFrame) -> list[int]:
-    """Per band the least bin at which the estimated share of words among the discoveries is at most ``RATE``."""
-    each = scanned.select(F.explode("tokens").alias("t")).select("t.band", "t.p.bin", "t.word")
-    counts = {(r["band"], r["bin"], r["word"]): r["count"] for r in each.groupBy("band", "bin", "word").count().collect()}
-    out = []
-    for band in range(len(BANDS)):
-        # Shorter words look random more easily: with them the null of a band is larger and errs on the safe side.
-        words = [sum(counts.get((k, b, True), 0) for k in range(band + 1)) for b in range(BINS)]
-        others = [counts.get((band, b, False), 0) for b in range(BINS)]
-        best = BINS
-        for b in range(BINS - 1, -1, -1):
-            found = sum(others[b:])
-            chance = (1 + sum(words[b:])) / (1 + sum(words))
-            if found and chance * sum(others) <= RATE * found:
-                best = b
-        out.append(best)
-    return out
-
-
 def _entries(i: int, kind: str) -> Column:
     return F.transform(kind, lambda x: F.struct(x["a"].alias("a"), F.lit(i).alias("i"), x["b"].alias("b"), F.lit(kind).alias("k")))
 
@@ -151,11 +134,9 @@ def _joined(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["k"], x["a"].cast("string"), x["b"].cast("string"))), ",")
 
 
-def _settled(scanned: DataFrame, least_bins: list[int]) -> DataFrame:
+def _settled(scanned: DataFrame) -> DataFrame:
     """``scanned`` with the column ``random``: the tokens that the battery adds, apart from those that overlap a base span."""
-    limits = F.array(*(F.lit(x) for x in least_bins))
-    added = F.filter("tokens", lambda t: ~t["word"] & t["p"]["random"] & (t["p"]["bin"] >= F.element_at(limits, t["band"] + 1)))
-    rows = scanned.withColumn("base", F.concat("assign", "access", "hex")).withColumn("added", added)
+    rows = scanned.withColumn("base", F.concat("assign", "access", "hex")).withColumn("added", F.filter("tokens", lambda t: t["random"]))
     apart = F.filter("added", lambda t: ~F.exists("base", lambda x: (x["a"] < t["b"]) & (t["a"] < x["b"])))
     return rows.withColumn("random", F.transform(apart, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b")))).drop("base", "added", "tokens")
 
@@ -163,11 +144,9 @@ def _settled(scanned: DataFrame, least_bins: list[int]) -> DataFrame:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``(doc_id, assign, access, hex, random)``: spans of each kind for every row of ``docs``.
 
-    A null or empty text has no spans and repeated rows repeat. Without words up to a band's lengths in
-    the corpus the null of that band is empty, and chance counts as certain.
+    A null or empty text has no spans and repeated rows repeat.
     """
-    scanned = written(scan(docs), workspace(docs.sparkSession, "secrets"))
-    return _settled(scanned, thresholds(scanned))
+    return _settled(scan(docs))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -177,8 +156,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     row = F.struct(*(docs[c].alias(c) for c in names)).alias("row")
-    # Texts are scanned twice rather than written once more: the first scan gives the thresholds only.
-    rows = _settled(scan(docs, row), thresholds(scan(docs)))
+    rows = _settled(scan(docs, row))
     spans = F.array_sort(F.concat(*(_entries(i, k) for i, k in enumerate(KINDS))))
     rows = rows.select("row", spans.alias("spans"))
     text = F.col("row.text").cast("string")

@@ -45,6 +45,33 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert sum(got[i] for i in range(150)) <= 4
 
 
+def test_a_random_token_is_judged_alike_in_any_corpus(spark):
+    r = random.Random(9)
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    alone = frame(spark, [(1, f"see {key} here")])
+    assert [(x.a, x.b) for x in secrets.find_secrets(alone).first().random] == [(4, 44)]
+    assert secrets.redact(alone).first().text == "see [random] here"
+    many = frame(spark, [(1, f"see {key} here")] + [(2 + i, "".join(r.choice(["inter", "nation", "ally", "ment", "under"]) for _ in range(5))) for i in range(300)])
+    assert {x.doc_id: len(x.random) for x in secrets.find_secrets(many).collect() if x.random} == {1: 1}
+
+
+ORDINARY = "about because before company country development example follow government important information interest language message people problem question something through aber alles arbeit besonders durch entwicklung geschichte gesellschaft immer leben mensch sprache zusammen avec beaucoup comme depuis encore enfant histoire maison monde personne premier toujours travail ahora aunque ciudad cuando desde ejemplo entonces gobierno hombre mundo nunca persona porque primero siempre trabajo".split()
+
+
+def test_ordinary_tokens_are_rarely_reported_and_long_keys_are(spark):
+    r, rows = random.Random(12), []
+    for n in secrets.BANDS:
+        for sep, form in (("_", str), ("/", str), ("", str.capitalize), ("", str.upper), ("", str)):
+            rows += [(f"{n}{sep}{form.__name__}", sep.join(form(r.choice(ORDINARY)) for _ in range(n))[: n - 1] + str(r.randint(0, 9))) for _ in range(200)]
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows += [("key", "".join(r.choice(alphabet) for _ in range(r.randint(32, 64)))) for _ in range(200)]
+    got = secrets.find_secrets(frame(spark, list(enumerate(t for _, t in rows)))).select("doc_id", secrets.F.size("random").alias("n")).collect()
+    share = {f: 0.0 for f, _ in rows}
+    for x in got:
+        share[rows[x.doc_id][0]] += x.n / 200
+    assert share.pop("key") > 0.9 and max(share.values()) <= 0.05
+
+
 def test_secrets_are_replaced(spark):
     docs = frame(spark, [(1, "é token=abcdefghijklmnop end"), (2, None), (3, "plain"), (4, "x 0123456789abcdef0 password: 0123456789abcdef0")])
     got = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
