@@ -3,8 +3,8 @@
 A document's histogram of character classes and its histogram of a language's
 common words are compared with that language's references by Jensen-Shannon
 distance (base 2, square root of the divergence). References are trained from a
-bounded sample of rows labelled good; a document passes if some language is near
-enough in both. Short texts are far from any reference by chance alone, so each
+bounded sample of each language's rows labelled good; a document passes if some
+language is near enough in both, or if its own language has no reference. Short texts are far from any reference by chance alone, so each
 limit is a constant plus a slack over the square root of the length, and a text
 with fewer than ``MIN_CHARS`` word characters isn't judged by characters, one with
 fewer than ``MIN_WORDS`` words not by words.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import blocks
 from .shared import map_batches, read
 
-#: Rows of the training sample, common words of a language, and languages at most.
-SAMPLE_ROWS, COMMON, LANGUAGES = 4000, 48, 16
+#: Rows of a language's training sample at most, its common words, and parts in which the sample is drawn.
+SAMPLE_ROWS, COMMON, PARTS = 4000, 48, 64
 MIN_CHARS, MIN_WORDS = 100, 50
 #: Limits of the distances: at any length, and what is added over the root of the length.
 CHAR_LIMIT, CHAR_SLACK = 0.15, 1.25
@@ -108,6 +108,7 @@ def word_hash(word: str) -> int:
 class Reference:
     """What a language's texts look like: shares of the classes, and of its common words with the rest last."""
 
+    lang: str
     classes: np.ndarray
     words: np.ndarray
     shares: np.ndarray
@@ -139,7 +140,8 @@ def distances(c: Counts, refs: list[Reference]) -> tuple[np.ndarray, np.ndarray]
     return np.stack(by_class, 1), np.stack(by_word, 1)
 
 
-def verdict(c: Counts, refs: list[Reference]) -> np.ndarray:
+def verdict(c: Counts, refs: list[Reference], lang: list[str | None]) -> np.ndarray:
+    """Whether each row is near enough to some reference; a row whose language has none isn't judged."""
     if not refs:
         return np.ones(len(c.n_words), bool)
     chars, words = distances(c, refs)
@@ -147,20 +149,24 @@ def verdict(c: Counts, refs: list[Reference]) -> np.ndarray:
     words_near = words <= (WORD_LIMIT + WORD_SLACK / np.sqrt(np.maximum(c.n_words, 1)))[:, None]
     chars_near[c.word_chars < MIN_CHARS] = True
     words_near[c.n_words < MIN_WORDS] = True
-    return (chars_near & words_near).any(1)
+    known = {r.lang for r in refs}
+    return (chars_near & words_near).any(1) | np.array([x not in known for x in lang], bool)
 
 
 def references(docs: DataFrame, labels: DataFrame) -> list[Reference]:
-    """Trains the references from at most ``SAMPLE_ROWS`` documents labelled of good quality and not toxic.
+    """Trains the references from documents labelled of good quality and not toxic, at most ``SAMPLE_ROWS`` of each language.
 
     The sample is of the least hashes of ``doc_id``, so it doesn't depend on the order of rows.
     Without labels, or without a language, there is no reference and nothing is rejected by distance.
     """
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and text is not null")
+    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("lang is not null and text is not null")
+    named = rows.join(good, "doc_id").groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("h", F.xxhash64("doc_id"))
+    # The least hashes of each part hold those of the language, and no task sees all its rows.
+    for by in (f"lang, pmod(h, {PARTS})", "lang"):
+        named = named.withColumn("rank", F.expr(f"row_number() over (partition by {by} order by h, doc_id)")).where(F.col("rank") <= SAMPLE_ROWS).drop("rank")
     # One row of each chosen id, the least of those that repeat it.
-    sample = sample.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.lang", "row.text")
+    sample = rows.join(F.broadcast(named.select("doc_id", "lang")), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +182,7 @@ def references(docs: DataFrame, labels: DataFrame) -> list[Reference]:
 
     counts = map_batches(sample.select("text", "lang"), run, "lang string, class boolean, key long, n long").groupBy("lang", "class", "key").agg(F.sum("n").alias("n"))
     counts = counts.withColumn("total", F.expr("sum(n) over (partition by lang, class)")).withColumn("rank", F.expr("row_number() over (partition by lang, class order by n desc, key)"))
-    rows = counts.where(F.col("class") | (F.col("rank") <= COMMON)).orderBy("lang", "class", "rank").limit(LANGUAGES * (COMMON + len(CLASSES))).collect()
+    rows = counts.where(F.col("class") | (F.col("rank") <= COMMON)).collect()
     refs = []
     for lang in sorted({r["lang"] for r in rows}):
         classes = np.zeros(len(CLASSES))
@@ -185,7 +191,7 @@ def references(docs: DataFrame, labels: DataFrame) -> list[Reference]:
             if r["lang"] == lang and r["class"]:
                 classes[r["key"]] = r["n"] / max(r["total"], 1)
         shares = np.array([s for _, s in words])
-        refs.append(Reference(classes, np.array([w for w, _ in words], np.uint64), np.r_[shares, 1 - shares.sum()]))
+        refs.append(Reference(lang, classes, np.array([w for w, _ in words], np.uint64), np.r_[shares, 1 - shares.sum()]))
     return [r for r in refs if r.classes.sum() and len(r.words)]
 
 
@@ -196,7 +202,7 @@ def assess(docs: DataFrame, refs: list[Reference]) -> DataFrame:
     """Counts and verdict of every row of ``docs``.
 
     A null or empty text has no words and fails the base rule, as does any of under 20 words.
-    Repeated rows repeat; columns other than ``doc_id`` and ``text`` are ignored.
+    Repeated rows repeat; columns other than ``doc_id``, ``text`` and ``lang`` are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,10 +211,10 @@ def assess(docs: DataFrame, refs: list[Reference]) -> DataFrame:
             for lo, hi in blocks.slices(offs):
                 c = measure(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 failed = (c.n_words < LEAST_WORDS) | (100 * c.n_repeat_words > 30 * c.n_words)
-                cols = [batch.column(0).slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words)), pa.array(failed), pa.array(~failed & verdict(c, refs))]
+                cols = [batch.column(0).slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words)), pa.array(failed), pa.array(~failed & verdict(c, refs, batch.column(2).slice(lo, hi - lo).to_pylist()))]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _SCHEMA.split(", ")])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, _SCHEMA)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")), run, _SCHEMA)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +228,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows are judged by their texts, so rows that repeat a ``doc_id`` are judged apart.
     """
     refs, names = references(docs, labels), docs.columns
-    text = names.index("text")
+    text, lang = names.index("text"), names.index("lang")
     kinds = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +237,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for lo, hi in blocks.slices(offs):
                 c = measure(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 failed = (c.n_words < LEAST_WORDS) | (100 * c.n_repeat_words > 30 * c.n_words)
-                yield batch.slice(lo, hi - lo).filter(pa.array(~failed & verdict(c, refs)))
+                yield batch.slice(lo, hi - lo).filter(pa.array(~failed & verdict(c, refs, batch.column(lang).slice(lo, hi - lo).to_pylist())))
 
     return map_batches(docs, run, kinds)

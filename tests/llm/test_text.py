@@ -158,6 +158,26 @@ def test_far_texts_are_rejected_and_near_ones_kept(spark):
     assert quality.references(docs, labels.where("false")) == []
 
 
+def test_every_language_has_its_reference_and_none_means_no_distance(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 20)
+    r = random.Random(13)
+
+    def prose(k):
+        own = ["".join(chr(97 + (7 * k + i * j + j) % 26) for j in range(2, 5)) for i in range(12)]
+        return " ".join(r.choice(own) if r.random() < 0.5 else "".join(r.choice("aeinrst") for _ in range(5)) for _ in range(150)) + "."
+
+    # Language 0 dominates, the others are rare; the last two have no label, and one of them no name.
+    rows = [(i, prose(0), "l00") for i in range(300)] + [(1000 * k + i, prose(k), f"l{k:02}") for k in range(1, 20) for i in range(8)]
+    rows += [(90000 + i, prose(21), "none") for i in range(8)] + [(91000 + i, prose(22), None) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(d, 1, 0) for d, _, _ in rows if d < 90000], "doc_id long, quality int, toxic int")
+    refs = quality.references(docs, labels)
+    kept = {x.doc_id for x in quality.assess(docs, refs).where("kept").collect()}
+    assert {d for d, _, _ in rows if d >= 1000} - kept == set() and len(kept) >= len(rows) - 6
+    assert {x.doc_id for x in quality.keep_good(docs, labels).collect()} == kept
+    assert [x.lang for x in refs] == [f"l{k:02}" for k in range(20)]
+
+
 def overlap_by_brute_force(docs, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     windows = {}
