@@ -304,6 +304,15 @@ def lexdist(spark: S, d: str) -> DataFrame:
     return near.where("word like 'th%'").select("word", "similar", F.col("dist").cast("long").alias("dist"))
 
 
+_NEAR_ALL = "SELECT x.word, y.word AS \"similar\", y.df AS df2, levenshtein(x.word, y.word) AS dist FROM df x JOIN df y ON x.word <> y.word AND y.df >= floor(x.df / 10) AND abs(length(x.word) - length(y.word)) <= 3 WHERE levenshtein(x.word, y.word) <= CASE WHEN length(x.word) <= 5 THEN 1 WHEN length(x.word) <= 10 THEN 2 ELSE 3 END"
+
+
+@_query(f"SELECT word, \"similar\", CAST(dist AS BIGINT) AS dist FROM (SELECT *, max(df2) OVER (PARTITION BY word) AS best FROM ({_NEAR_ALL})) WHERE df2 >= floor(best / 5)")
+def lexdist_all(spark: S, d: str) -> DataFrame:
+    """Similar words of the whole vocabulary; ``lexdist`` has those of a prefix."""
+    return fuzzy.similar_words(lexicon.vocabulary(_index(spark, d))).select("word", "similar", F.col("dist").cast("long").alias("dist"))
+
+
 _SCORE = "best * (1 + 2 * hitnum / 255.0)"
 _THREAD = "(0.25 + 0.75 * child_bucket / 31.0)"
 

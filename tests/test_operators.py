@@ -212,3 +212,17 @@ def test_arriving_messages_are_merged_once(spark, tmp_path):
     spark.createDataFrame([("a@h", 11, "x"), ("b@h", 12, "new"), ("b@h", 12, "new"), ("c@h", 1, "early")], schema).write.parquet(landing)
     ingest.ingest(ingest.arriving(spark, landing, schema, since=5), table, f"{tmp_path}/cp").awaitTermination()
     assert ids(spark.read.option("recursiveFileLookup", "true").parquet(table)) == ["a@h", "b@h"]
+
+
+def stored(folder, name, rows, schema, spark):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return f"file://{folder}"
+
+
+def test_similar_words_of_the_whole_vocabulary(spark, tmp_path):
+    from postloom.plans import catalog
+
+    said = [(c, 0, "user", "alpha then gamma") for c in range(2)] + [(2 + c, 0, "user", "alphb them delta") for c in range(2)]
+    folder = stored(tmp_path, "conversations", said, "conv_id long, turn long, role string, text string", spark)
+    got = {tuple(r) for r in catalog.QUERIES["lexdist_all"](spark, folder).collect()}
+    assert got == {("alpha", "alphb", 1), ("alphb", "alpha", 1), ("then", "them", 1), ("them", "then", 1)}
