@@ -43,6 +43,8 @@ CTES = {
     "doc": "SELECT doc_id AS idx, md5(text) || '@doc' AS msgid, source AS archive, lang, text AS body FROM documents",
     "a": f"SELECT * FROM doc WHERE archive = '{GROUP_A}'",
     "b": f"SELECT * FROM doc WHERE archive IN ('{GROUP_B}', 'src3')",
+    "side_a": "SELECT * FROM doc WHERE coalesce(right(archive, 1) IN ('0', '2', '4', '6', '8'), FALSE)",
+    "side_b": "SELECT * FROM doc WHERE NOT coalesce(right(archive, 1) IN ('0', '2', '4', '6', '8'), FALSE)",
     "said": f"SELECT idx, 0 AS type, {_TOKENS.format('body')} AS words FROM conv UNION ALL SELECT idx, 5, {_TOKENS.format('subject')} FROM conv UNION ALL SELECT idx, 6, {_TOKENS.format('author')} FROM conv",
     "spots": "SELECT idx, type, w.x AS word, least(w.i - 1, CASE type WHEN 0 THEN 127 ELSE 7 END) AS pos FROM (SELECT idx, type, unnest(list_transform(range(1, len(words) + 1), lambda i: {'i': i, 'x': words[i]})) AS w FROM said)",
     "hit": "SELECT DISTINCT ON (word, idx, type, pos, CASE WHEN pos = CASE type WHEN 0 THEN 127 ELSE 7 END THEN 0 ELSE n END) word, idx, type, pos, CASE type WHEN 0 THEN 1000.0 WHEN 5 THEN 1.0 ELSE 0.1 END * (0.1 + 0.9 * (1 - pos / CASE type WHEN 0 THEN 127.0 ELSE 7.0 END)) AS rank FROM (SELECT *, row_number() OVER () AS n FROM spots)",
@@ -126,6 +128,34 @@ def update_overwrite(spark: S, d: str) -> DataFrame:
     return setops.update(_arch(spark, d, GROUP_A), _arch(spark, d, GROUP_B, "src3"), overwrite=True).select("idx", "msgid", F.col("part").cast("long").alias("part"))
 
 
+def _sides(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
+    """All documents in two archives: those of sources with an even number, and those of all others."""
+    m = tables.documents(spark, d).drop("newsgroups")
+    even = F.coalesce(F.right("archive", F.lit(1)).isin(list("02468")), F.lit(False))
+    return m.where(even), m.where(~even)
+
+
+@_query("SELECT idx, msgid FROM side_a UNION ALL SELECT idx, msgid FROM side_b y WHERE NOT EXISTS (SELECT 1 FROM side_a x WHERE x.msgid = y.msgid)")
+def merge_raw_all(spark: S, d: str) -> DataFrame:
+    return setops.merge(*_sides(spark, d)).select("idx", "msgid")
+
+
+@_query("SELECT idx, msgid FROM side_b y WHERE NOT EXISTS (SELECT 1 FROM side_a x WHERE x.msgid = y.msgid)")
+def rel_complement_all(spark: S, d: str) -> DataFrame:
+    a, b = _sides(spark, d)
+    return setops.complement(b, a).select("idx", "msgid")
+
+
+@_query("SELECT idx, msgid, CAST(0 AS BIGINT) AS part FROM side_b y WHERE NOT EXISTS (SELECT 1 FROM side_a x WHERE x.msgid = y.msgid) UNION ALL SELECT idx, msgid, 1 FROM side_a")
+def update_append_all(spark: S, d: str) -> DataFrame:
+    return setops.update(*_sides(spark, d)).select("idx", "msgid", F.col("part").cast("long").alias("part"))
+
+
+@_query("SELECT idx, msgid, CAST(0 AS BIGINT) AS part FROM side_a x WHERE NOT EXISTS (SELECT 1 FROM side_b y WHERE y.msgid = x.msgid) UNION ALL SELECT idx, msgid, 1 FROM side_b")
+def update_overwrite_all(spark: S, d: str) -> DataFrame:
+    return setops.update(*_sides(spark, d), overwrite=True).select("idx", "msgid", F.col("part").cast("long").alias("part"))
+
+
 @_query("SELECT idx, msgid FROM doc WHERE lang = 'fr'")
 def filter_newsgroups(spark: S, d: str) -> DataFrame:
     return setops.filter_newsgroups(tables.documents(spark, d), "fr").select("idx", "msgid")

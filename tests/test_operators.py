@@ -226,3 +226,17 @@ def test_similar_words_of_the_whole_vocabulary(spark, tmp_path):
     folder = stored(tmp_path, "conversations", said, "conv_id long, turn long, role string, text string", spark)
     got = {tuple(r) for r in catalog.QUERIES["lexdist_all"](spark, folder).collect()}
     assert got == {("alpha", "alphb", 1), ("alphb", "alpha", 1), ("then", "them", 1), ("them", "then", 1)}
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_set_operations_on_all_sources(spark, tmp_path):
+    from postloom.plans import catalog
+
+    docs = [(1, "a", "en", "src1", 1), (2, "b", "en", "src4", 1), (3, "a", "en", "src8", 1), (4, "c", "en", "src15", 1), (5, "d", "en", None, 1), (6, "b", "en", "src17", 1)]
+    folder = stored(tmp_path, "documents", docs, DOCUMENTS, spark)
+    run = lambda name: sorted(r.idx for r in catalog.QUERIES[name](spark, folder).collect())
+    assert run("merge_raw_all") == [2, 3, 4, 5] == run("update_append_all")
+    assert run("rel_complement_all") == [4, 5]
+    assert run("update_overwrite_all") == [1, 4, 5, 6]
