@@ -475,6 +475,18 @@ def rot13(spark: S, d: str) -> DataFrame:
     return tables.read(spark, d, "documents").select(F.col("doc_id").alias("idx"), text.rot13(F.left("text", F.lit(200))).alias("turned"))
 
 
+@_query(f"SELECT doc_id AS idx, md5(regexp_replace('Re: RE[2]:  Odp: ' || text, '{_KILL}', '')) AS subject FROM documents")
+def subject_kill_all(spark: S, d: str) -> DataFrame:
+    """``subject_kill`` of whole texts, as digests."""
+    return tables.read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.md5(text.subject_kill(F.concat(F.lit("Re: RE[2]:  Odp: "), F.col("text")))).alias("subject"))
+
+
+@_query(f"SELECT doc_id AS idx, md5({_TURN.format('text')}) AS turned FROM documents")
+def rot13_all(spark: S, d: str) -> DataFrame:
+    """``rot13`` of whole texts, as digests."""
+    return tables.read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.md5(text.rot13(F.col("text"))).alias("turned"))
+
+
 @_query(f"SELECT page_id AS idx, md5({_ESCAPE.format('html')}) AS escaped FROM pages")
 def html_escape(spark: S, d: str) -> DataFrame:
     return tables.read(spark, d, "pages").select(F.col("page_id").alias("idx"), F.md5(text.html_escape(F.col("html"))).alias("escaped"))

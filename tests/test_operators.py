@@ -240,3 +240,18 @@ def test_set_operations_on_all_sources(spark, tmp_path):
     assert run("merge_raw_all") == [2, 3, 4, 5] == run("update_append_all")
     assert run("rel_complement_all") == [4, 5]
     assert run("update_overwrite_all") == [1, 4, 5, 6]
+
+
+def test_whole_texts_are_turned_and_cut(spark, tmp_path):
+    import codecs
+    import hashlib
+
+    from postloom.plans import catalog
+
+    long = "Some words " * 40
+    folder = stored(tmp_path, "documents", [(1, long + "End", "en", "s", 1), (2, long + "Fin", "en", "s", 1)], DOCUMENTS, spark)
+    digest = lambda s: hashlib.md5(s.encode()).hexdigest()
+    got = {r.idx: r.turned for r in catalog.QUERIES["rot13_all"](spark, folder).collect()}
+    assert got == {1: digest(codecs.encode(long + "End", "rot13")), 2: digest(codecs.encode(long + "Fin", "rot13"))}
+    got = {r.idx: r.subject for r in catalog.QUERIES["subject_kill_all"](spark, folder).collect()}
+    assert got == {1: digest(long + "End"), 2: digest(long + "Fin")}
