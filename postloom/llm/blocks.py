@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 18
 U = np.uint64
@@ -33,32 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-BYTE_CODE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-
-
-def inverse(a: np.uint64) -> np.uint64:
-    return U(pow(int(a), -1, 1 << 64))
-
-
-class Powers:
-    """``base**i`` and its inverse modulo 2**64, extended when a longer run comes."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.up, self.down = base, np.ones(1, U), np.ones(1, U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", inverse(self.base))):
-                a = np.full(size, base, U)
-                a[0] = 1
-                setattr(self, name, np.multiply.accumulate(a))
-        return self.up, self.down
-
-
-BYTES, WORDS = Powers(_MULT), Powers(_STEP)
-
-
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -96,16 +71,82 @@ def spans(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tupl
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on as one integer, zeros beyond its end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+#: Spans over this many bytes are hashed and compared one by one.
+_LONG = 64
+_MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], U)
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, the same wherever it stands."""
-    up, down = BYTES.to(len(data) + 1)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE_CODE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    """A 64-bit hash of each byte span, the same wherever it stands.
+
+    Eight bytes are mixed in at a time, so spans of up to eight bytes never share a hash with one of their
+    own length. Longer ones may: whoever must not take two for one compares them by ``same_spans``.
+    """
+    size = ends - starts
+    at = loads(data)
+    h = mix((at[starts] & _MASK[np.minimum(size, 8)]) + size.astype(U) * _STEP)
+    live = np.flatnonzero((size > 8) & (size <= _LONG))
+    done = 8
+    while len(live):
+        left = size[live] - done
+        h[live] = mix((h[live] ^ (at[starts[live] + done] & _MASK[np.minimum(left, 8)])) * _MULT + U(done))
+        done += 8
+        live = live[left > 8]
+    far = np.flatnonzero(size > _LONG)
+    if len(far):
+        h[far] = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+    return h
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, other_starts: np.ndarray, size: np.ndarray, other_loads: np.ndarray | None = None) -> np.ndarray:
+    """Whether the ``size`` bytes at ``starts`` of ``data`` equal those at ``other_starts`` of ``other``."""
+    a = loads(data)
+    b = loads(other) if other_loads is None else other_loads
+    mask = _MASK[np.minimum(size, 8)]
+    same = (a[starts] & mask) == (b[other_starts] & mask)
+    live = np.flatnonzero(same & (size > 8) & (size <= _LONG))
+    done = 8
+    while len(live):
+        left = size[live] - done
+        mask = _MASK[np.minimum(left, 8)]
+        fits = (a[starts[live] + done] & mask) == (b[other_starts[live] + done] & mask)
+        same[live[~fits]] = False
+        done += 8
+        live = live[fits & (left > 8)]
+    for i in np.flatnonzero(same & (size > _LONG)).tolist():
+        same[i] = np.array_equal(data[starts[i] : starts[i] + size[i]], other[other_starts[i] : other_starts[i] + size[i]])
+    return same
+
+
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each span, equal exactly for spans of equal bytes, and the place of one span of each number."""
+    h = span_hash(data, starts, ends)
+    _, example, kind = np.unique(h, return_index=True, return_inverse=True)
+    size = ends - starts
+    of = example[kind]
+    apart = np.flatnonzero((size != size[of]) | ~same_spans(data, starts, data, starts[of], np.minimum(size, size[of])))
+    if len(apart):
+        own: dict[bytes, int] = {}
+        more = []
+        for i in apart.tolist():
+            raw = data[starts[i] : ends[i]].tobytes()
+            if raw not in own:
+                own[raw] = len(example) + len(more)
+                more.append(i)
+            kind[i] = own[raw]
+        example = np.r_[example, more]
+    return kind, example
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of ``k`` consecutive entries of ``h`` (``len(h) - k + 1`` of them)."""
+    """Hashes of all runs of ``k`` consecutive entries of ``h`` (``len(h) - k + 1`` of them), mixed at each doubling."""
     if len(h) < k:
         return np.zeros(0, U)
     have, size, out, done = h, 1, None, 0
@@ -116,21 +157,13 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
                 out, done = have, size
             else:
                 m = min(len(out), len(have) - done)
-                out = out[:m] * U(pow(int(_STEP), size, 1 << 64)) + have[done : done + m]
+                out = mix(out[:m] * _STEP + have[done : done + m])
                 done += size
         left >>= 1
         if left:
-            have = have[:-size] * U(pow(int(_STEP), size, 1 << 64)) + have[size:]
+            have = mix(have[:-size] * _MULT + have[size:])
             size *= 2
-    return mix(out[: len(h) - k + 1])
-
-
-def run_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hashes of the runs ``h[lo:hi]`` of any lengths."""
-    up, down = WORDS.to(len(h) + 1)
-    total = np.zeros(len(h) + 1, U)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(U))
+    return out[: len(h) - k + 1]
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

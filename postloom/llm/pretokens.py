@@ -7,7 +7,8 @@ library itself. Texts that this cut doesn't cover (special strings, characters
 outside plain Latin text) go to the library as a whole, so the results are the
 library's for every text.
 
-Pre-tokens are looked up by a 64-bit hash and their length.
+Pre-tokens are looked up by a 64-bit hash and compared with the bytes found there;
+a text with one that shares another's hash goes to the library as a whole.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import numpy as np
 
 from . import blocks
 
-#: Entries that a worker keeps beside the vocabulary; beyond them it starts afresh.
+#: Entries that a worker keeps beside the vocabulary, and bytes of all; beyond them it starts afresh.
 KEPT = 2_000_000
+KEPT_BYTES = 1 << 28
 _BITS = 22
 
 _LETTER, _DIGIT, _BLANK, _OTHER = 1, 2, 3, 4
@@ -95,13 +97,17 @@ def cut(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Table:
-    """Open-addressed table from a hash and a length to a run of token ids."""
+    """Open-addressed table from the hash of a byte string to the string and a run of token ids."""
 
     def __init__(self):
         self.key = np.zeros(1 << _BITS, np.uint64)
         self.at = np.zeros(1 << _BITS, np.int32)
         self.n = np.zeros(1 << _BITS, np.int32)
         self.ids, self.used, self.entries = np.zeros(1 << 20, np.int32), 0, 0
+        self.start = np.zeros(1 << _BITS, np.int32)
+        self.size = np.zeros(1 << _BITS, np.int32)
+        self.filled = 0
+        self._room(1 << 22)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash, or -1."""
@@ -116,7 +122,24 @@ class Table:
             left = left[(got != h[left]) & (got != 0)]
         return slot
 
-    def add(self, h: np.ndarray, lists: list[list[int]]) -> None:
+    def _room(self, size: int) -> None:
+        """Makes room for ``size`` bytes of strings, which are read eight at a time."""
+        padded = np.zeros(size + 8, np.uint8)
+        if self.filled:
+            padded[: self.filled] = self.bytes[: self.filled]
+        self.bytes, self.loads = padded[:size], np.ndarray((size + 1,), "<u8", padded, strides=(1,))
+
+    def holds(self, slot: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each found slot has the bytes that were looked up; true where nothing was found."""
+        out = slot < 0
+        at = np.flatnonzero(~out)
+        size = ends[at] - starts[at]
+        fits = self.size[slot[at]] == size
+        at, size = at[fits], size[fits]
+        out[at] = blocks.same_spans(data, starts[at], self.bytes, self.start[slot[at]], size, self.loads)
+        return out
+
+    def add(self, h: np.ndarray, strings: list[bytes], lists: list[list[int]]) -> None:
         """Distinct hashes that aren't in the table."""
         n = np.fromiter(map(len, lists), np.int64, len(lists))
         total = int(n.sum())
@@ -126,6 +149,13 @@ class Table:
         at = self.used + np.cumsum(n) - n
         self.used += total
         self.entries += len(h)
+        size = np.fromiter(map(len, strings), np.int64, len(strings))
+        more = int(size.sum())
+        if self.filled + more > len(self.bytes):
+            self._room(max(self.filled + more, 2 * len(self.bytes)))
+        self.bytes[self.filled : self.filled + more] = np.frombuffer(b"".join(strings), np.uint8)
+        start = self.filled + np.cumsum(size) - size
+        self.filled += more
         slot = (h >> np.uint64(64 - _BITS)).astype(np.int64)
         left = np.arange(len(h))
         while len(left):
@@ -133,6 +163,7 @@ class Table:
             self.key[slot[free]] = h[free]
             won = free[self.key[slot[free]] == h[free]]
             self.at[slot[won]], self.n[slot[won]] = at[won], n[won]
+            self.start[slot[won]], self.size[slot[won]] = start[won], size[won]
             left = left[self.key[slot[left]] != h[left]]
             slot[left] = (slot[left] + 1) & ((1 << _BITS) - 1)
 
@@ -168,11 +199,12 @@ class PreTokens:
         if self.proven:
             raw = [s.encode() for s, _ in self.proven]
             edge = np.r_[0, np.cumsum([len(r) for r in raw])]
-            self.table.add(_hash(np.frombuffer(b"".join(raw), np.uint8), edge[:-1], edge[1:]), [[i] for _, i in self.proven])
+            h, first = np.unique(_hash(np.frombuffer(b"".join(raw), np.uint8), edge[:-1], edge[1:]), return_index=True)
+            self.table.add(h, [raw[i] for i in first], [[self.proven[i][1]] for i in first])
 
     def _slots(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Table slots of all pre-tokens, how many come before each row, and whether they hold for the row."""
-        if self.table.entries > KEPT + len(self.proven):
+        if self.table.entries > KEPT + len(self.proven) or self.table.filled > KEPT_BYTES:
             self._fresh()
         starts, fits = cut(data, offs)
         text = data.tobytes()
@@ -189,9 +221,12 @@ class PreTokens:
         if len(rest):
             new, first = np.unique(h[rest], return_index=True)
             first = rest[first]
-            strings = [text[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            self.table.add(new, [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)])
+            strings = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            self.table.add(new, strings, [e.ids for e in self.library.encode_batch_fast([s.decode() for s in strings], add_special_tokens=False)])
             slot[rest] = self.table.find(h[rest])
+        wrong = np.flatnonzero(~self.table.holds(slot, data, starts, ends))
+        if len(wrong):
+            fits[np.searchsorted(offs, starts[wrong], side="right") - 1] = False
         return slot, before, fits
 
     def _whole(self, data: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> list[list[int]]:

@@ -63,12 +63,32 @@ def _sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return total[offs[1:]] - total[offs[:-1]]
 
 
-def _repeated(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that brings equal hashes of one row together, and which of them, in that order, equal the one before."""
-    key = blocks.mix(h ^ blocks.mix(row.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    return order, np.r_[False, key[1:] == key[:-1]]
+def _repeated(kind: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings equal kinds of one row together, and which of them, in that order, equal the one before."""
+    order = np.lexsort((kind, row))
+    kind, row = kind[order], row[order]
+    return order, np.r_[False, (kind[1:] == kind[:-1]) & (row[1:] == row[:-1])]
+
+
+def _windows(kind: np.ndarray) -> np.ndarray:
+    """A number for each run of ``WINDOW`` entries, equal exactly for equal runs.
+
+    Runs are numbered by a hash, and each is held against one of its number. Should two differ,
+    pairs of entries are numbered instead, then pairs of pairs.
+    """
+    n = len(kind) - WINDOW + 1
+    if n <= 0:
+        return kind[:0]
+    _, example, number = np.unique(blocks.grams(kind.astype(np.uint64), WINDOW), return_index=True, return_inverse=True)
+    of = example[number]
+    again = np.flatnonzero(of != np.arange(n))
+    if all((kind[again + i] == kind[of[again] + i]).all() for i in range(WINDOW)):
+        return number
+    have, size = kind, 1
+    while size < WINDOW:
+        _, have = np.unique(have[:-size] * (len(kind) + 1) + have[size:], return_inverse=True)
+        size *= 2
+    return have
 
 
 def measure(data: np.ndarray, offs: np.ndarray) -> Counts:
@@ -86,11 +106,11 @@ def measure(data: np.ndarray, offs: np.ndarray) -> Counts:
     inked = np.r_[0, np.cumsum(ink)]
     full = inked[hi] > inked[lo]
     line_row = np.repeat(np.arange(rows), np.diff(line_before))[full]
-    order, same = _repeated(blocks.span_hash(data, lo[full], hi[full]), line_row)
+    order, same = _repeated(blocks.numbered(data, lo[full], hi[full])[0], line_row)
     n_dup_lines = np.bincount(line_row[order[same]], minlength=rows)
 
     h = blocks.span_hash(data, starts, ends)
-    g = blocks.grams(h, WINDOW)
+    g = _windows(blocks.numbered(data, starts, ends)[0])
     inside = np.flatnonzero(row[: len(g)] == row[WINDOW - 1 :]) if len(g) else np.zeros(0, np.int64)
     order, same = _repeated(g[inside], row[inside])
     twice = order[same | np.r_[same[1:], False]] if len(order) else order

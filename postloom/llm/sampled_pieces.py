@@ -74,6 +74,7 @@ class Lattice:
             self.key[slot], self.id[slot] = x, i
         starts = np.cumsum([0, *(len(b) for b in self.piece_bytes)])
         self.out, self.out_at, self.out_n = np.frombuffer(b"".join(self.piece_bytes), np.uint8), starts[:-1], np.diff(starts)
+        self.out_loads = blocks.loads(self.out)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece of each hash, or -1."""
@@ -90,9 +91,6 @@ class Lattice:
         """Start, end and piece of all edges of the chunks at ``edge`` in ``data``."""
         n = len(data)
         left = np.repeat(edge[1:], np.diff(edge)) - np.arange(n)
-        up, down = blocks.BYTES.to(n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum(blocks.BYTE_CODE[data] * up[:n], out=total[1:])
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         char_end = np.r_[lead[1:], n]
         spelled = np.ones(len(lead), bool)
@@ -103,8 +101,12 @@ class Lattice:
             at, of = at[fits], of[fits]
             if not len(at):
                 break
-            got = self.find(blocks.mix((total[at + size] - total[at]) * down[at] + U(size)))
+            got = self.find(blocks.span_hash(data, at, at + size))
             hit = np.flatnonzero(got >= 0)
+            own = got[hit]
+            fits = self.out_n[own] == size
+            hit, own = hit[fits], own[fits]
+            hit = hit[blocks.same_spans(data, at[hit], self.out, self.out_at[own], np.full(len(hit), size), self.out_loads)]
             src.append(at[hit])
             dst.append(at[hit] + size)
             piece.append(got[hit])
@@ -167,7 +169,7 @@ class Lattice:
         begin = np.flatnonzero(start[:-1])
         end = np.r_[begin[1:], len(data)]
         row = np.searchsorted(offs, begin, side="right") - 1
-        _, example, kind = np.unique(blocks.span_hash(data, begin, end), return_index=True, return_inverse=True)
+        kind, example = blocks.numbered(data, begin, end)
         sizes = (end - begin)[example]
         edge = np.r_[0, np.cumsum(sizes)]
         flat = data[np.repeat(begin[example] - edge[:-1], sizes) + np.arange(edge[-1])]

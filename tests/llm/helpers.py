@@ -26,3 +26,9 @@ def frame(spark, rows, extra=True):
 
 def words(text):
     return WORD.findall(text or "")
+
+
+def twins(k):
+    """Two strings of ``2**k`` letters that share every polynomial hash modulo a power of two, and their separation at the ends."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(1 << k))
+    return a, a.translate(str.maketrans("ab", "ba"))

@@ -32,6 +32,31 @@ def test_repeated_windows_are_removed_as_by_brute_force(spark):
             assert sorted(got, key=str) == removed_by_brute_force(rows)
 
 
+def test_an_index_opens_again_and_goes_on(spark, tmp_path):
+    rows = awkward(4)
+    docs = frame(spark, rows)
+    parts = substring_dedup.batches_by_id(docs, 5)
+    path = f"file://{tmp_path}/log"
+    for k, condition in enumerate(parts):
+        # A session that knows nothing of the tables of the one before.
+        other = spark.newSession()
+        log = substring_dedup.FingerprintLog(other, path, buckets=3)
+        assert log.turn == k
+        for name in list(log._state["levels"].values()):
+            other.sql(f"drop table if exists {log._table(name)}")
+        log.append(substring_dedup.keyed(docs).where(condition))
+        assert len(log._state["levels"]) == (k + 1).bit_count()
+    log = substring_dedup.FingerprintLog(spark, path)
+    found = substring_dedup.repeats(docs, log)
+    got = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in substring_dedup.without(docs, found).collect()]
+    assert sorted(got, key=str) == removed_by_brute_force(rows)
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "log").iterdir()).count("run") == len(parts).bit_count()
+    plan = log.repeated()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    log.drop()
+    assert substring_dedup.FingerprintLog(spark, path).repeated().count() == 0
+
+
 def test_an_empty_table_gives_an_empty_result(spark):
     docs = frame(spark, [])
     assert substring_dedup.remove_repeats(docs).count() == 0

@@ -3,12 +3,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from postloom.llm import binary_ids, token_counts
 
-from .helpers import awkward, frame
+from .helpers import awkward, frame, twins
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(BPE)
@@ -27,6 +28,33 @@ def test_counts_are_the_library_s(spark):
     assert got == sorted(((d, len((t or "").encode()), k, k > 50) for (d, t), k in zip(rows, n, strict=True)), key=str)
 
 
+def hard_texts():
+    return [(2000 + 10 * k + i, t) for k in (10, 11, 12) for i, t in enumerate([*twins(k), "\n".join(twins(k)), " ".join(reversed(twins(k)))])]
+
+
+def test_strings_that_weak_hashes_confuse_keep_their_ids(spark, tmp_path):
+    rows = hard_texts()
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame(spark, rows).coalesce(1), BPE).collect()}
+    assert got == {d: len(LIBRARY.encode(t, add_special_tokens=False).ids) for d, t in rows}
+    out = f"file://{tmp_path}/hard"
+    binary_ids.write_ids(frame(spark, rows).coalesce(1), BPE, out)
+    assert {r.doc_id: list(r.ids) for r in binary_ids.read_ids(spark, out).collect()} == {d: [*LIBRARY.encode(t, add_special_tokens=False).ids, 0] for d, t in rows}
+
+
+def test_pre_tokens_that_share_a_hash_are_told_apart(monkeypatch):
+    from postloom.llm import blocks, pretokens
+
+    monkeypatch.setattr(blocks, "span_hash", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(5))
+    own = pretokens.PreTokens(BPE)
+    texts = [t for _, t in odd_texts(60)] + [t for _, t in awkward(7) if t]
+    raw, offs = blocks.texts(pa.array(texts))
+    ids, sizes = own.encode(raw, offs)
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] == own.count(raw, offs).tolist() and ids.tolist() == [i for w in want for i in w]
+    kind, example = blocks.numbered(raw, offs[:-1], offs[1:])
+    assert len(example) == len(set(texts)) and [texts[example[k]] for k in kind] == texts
+
+
 def test_other_vocabularies(spark):
     import sentencepiece
 
