@@ -8,9 +8,9 @@ has is left out. Document places whose word is a prefix are candidates; they are
 joined to the windows on that word, bounded by position (the window must begin and
 end inside the document) and verified word by word.
 
-While the benchmark has at most ``LITERALS`` distinct words they are looked up in
-each document's word array, so only candidates are ever exploded; beyond that, all
-words are exploded and joined. Nothing else depends on it.
+Words that are no prefix are kept from being exploded by a Bloom filter, a constant of
+the plan whose size follows the benchmark's words; what it lets through by mistake
+falls away in the join.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .shared import read, workspace, written
 
 WINDOW = 13
-LITERALS = 20_000
+#: Bits a word, and longs at most (8 MB), of the filter that keeps other words from being exploded.
+BITS, MOST = 16, 1 << 20
 #: A document is contaminated if at least one word in ``SHARE`` is hit.
 SHARE = 20
 #: What separates words before case is folded: all ASCII but letters and digits.
@@ -47,17 +48,54 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return rows.groupBy("window").agg(F.collect_set("item_id").alias("items")).withColumn("m", F.size("window"))
 
 
+def _hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def _two_bits(h: Column) -> Column:
+    """Two bits of a long, from the high part of a hash."""
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
+    return bit(52).bitwiseOR(bit(58))
+
+
+class Filter:
+    """A Bloom filter of words, lower-cased, as a constant of the plan; it never misses a word of the table ``words(word)``.
+
+    It has about ``BITS`` bits a word and at most ``MOST`` longs: beyond that it lets more other words through.
+    """
+
+    def __init__(self, words: DataFrame):
+        size = 1
+        count = words.count()
+        while size * 64 < count * BITS and size < MOST:
+            size *= 2
+        self.size = size
+        h = _hash(F.col("word"))
+        rows = words.groupBy(self._slot(h).alias("slot")).agg(F.bit_or(_two_bits(h)).alias("bits")).collect()
+        longs = [0] * size
+        for r in rows:
+            longs[r["slot"]] = r["bits"]
+        # A cast of one constant: the optimizer turns it into an array once.
+        self.longs = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+
+    def _slot(self, h: Column) -> Column:
+        return h.bitwiseAND(F.lit(self.size - 1)).cast("int")
+
+    def may_hold(self, h: Column) -> Column:
+        """Whether the word of the hash ``h`` may be in the table."""
+        bits = _two_bits(h)
+        return F.element_at(self.longs, self._slot(h) + 1).bitwiseAND(bits) == bits
+
+
 def rarity(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(word, n)``: how often each word of ``vocabulary`` occurs in all documents, if at all.
 
     Words are compared fully lower-cased, which may count one too often but never misses it.
     """
-    words = _words(F.col("text"))
-    few = [r[0] for r in vocabulary.limit(LITERALS + 1).collect()]
-    if len(few) <= LITERALS:
-        words = F.filter(words, lambda w: F.lower(w).isin(few))
+    known = Filter(vocabulary)
+    words = F.filter(_words(F.col("text")), lambda w: known.may_hold(_hash(w)))
     counts = docs.select(F.explode(words).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
-    return counts if len(few) <= LITERALS else counts.join(vocabulary, "word", "left_semi")
+    return counts.join(vocabulary, "word", "left_semi")
 
 
 def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -79,11 +117,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = written(item_windows(benchmark), f"{base}/windows")
     vocabulary = windows.select(F.explode("window").alias("w")).select(F.lower("w").alias("word")).distinct()
     joined = written(prefixes(windows, rarity(docs, vocabulary)), f"{base}/prefixes")
-    few = [r[0] for r in joined.select("word").distinct().limit(LITERALS + 1).collect()]
-
-    is_prefix = (lambda w: F.lower(w).isin(few)) if len(few) <= LITERALS else (lambda w: F.lit(True))
+    prefix = Filter(joined.select("word").distinct())
     rows = docs.select("doc_id", F.xxhash64("text").alias("tk"), _words(F.col("text")).alias("w"))
-    rows = rows.select("doc_id", "tk", "w", F.size("w").alias("n_words"), F.array_compact(F.transform("w", lambda w, i: F.when(is_prefix(w), i))).alias("places"))
+    rows = rows.select("doc_id", "tk", "w", F.size("w").alias("n_words"), F.array_compact(F.transform("w", lambda w, i: F.when(prefix.may_hold(_hash(w)), i))).alias("places"))
 
     def candidate(p: Column) -> Column:
         left = F.least(p, F.lit(WINDOW - 1))

@@ -197,9 +197,9 @@ def overlap_by_brute_force(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("literals", [decontamination.LITERALS, 1])
-def test_benchmark_overlaps_are_those_of_brute_force(spark, monkeypatch, literals):
-    monkeypatch.setattr(decontamination, "LITERALS", literals)
+@pytest.mark.parametrize("most", [decontamination.MOST, 1])
+def test_benchmark_overlaps_are_those_of_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "MOST", most)
     r = random.Random(8)
     vocabulary = ["alpha", "Beta", "gamma", "élan", "ÉLAN", "der", "x1", "ΑΣ"]
     text = lambda n: r.choice([" ", ", ", "-"]).join(r.choice(vocabulary) for _ in range(n))
@@ -208,7 +208,17 @@ def test_benchmark_overlaps_are_those_of_brute_force(spark, monkeypatch, literal
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = [(x.doc_id, x.n_words, x.n_hit, tuple(sorted(map(str, x.items)))) for x in decontamination.overlaps(frame(spark, docs), bench).collect()]
     assert sorted(got, key=str) == overlap_by_brute_force(docs, items)
+    clean = decontamination.keep_clean(frame(spark, docs), bench)
+    assert sorted(((x.doc_id, x.text) for x in clean.collect()), key=str) == sorted(((d, t) for d, t in docs if not overlap_by_brute_force([(d, t)], items)[0][2]), key=str)
     assert decontamination.keep_clean(frame(spark, docs), bench.where("false")).count() == len(docs)
+    assert decontamination.overlaps(frame(spark, []), bench).count() == decontamination.keep_clean(frame(spark, []), bench).count() == 0
+
+
+def test_the_filter_never_misses_a_word(spark):
+    words = spark.range(3000).selectExpr("concat('w', id) as word")
+    known = decontamination.Filter(words)
+    got = spark.range(6000).selectExpr("id", "concat('W', id) as word").select("id", known.may_hold(decontamination._hash(decontamination.F.col("word"))).alias("hit")).collect()
+    assert all(r.hit for r in got if r.id < 3000) and sum(r.hit for r in got if r.id >= 3000) < 300
 
 
 def test_main_text_of_pages(spark):
