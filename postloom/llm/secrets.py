@@ -7,11 +7,13 @@ below the middle of the alphabet, and serial correlation at lag one. Statistics
 are standardised by their exact mean and variance at the token's length; the least
 p-value of the three, times three, is the token's.
 
-A token is reported if it is consistent with randomness (``p >= FLOOR``) and more so
-than ordinary tokens are: its p-value must reach the limit of its length and encoding,
-which at most a share ``RATE`` of ordinary tokens of that length reach. The limits are
-constants, so a token is judged alike in any corpus. Runs of letters alone are never
-reported.
+A random token passes such tests and an ordinary one fails them, so the hypothesis to
+reject is that a token is ordinary: ``ORDINARY`` has, by length and encoding, the share
+of ordinary tokens whose p-value is at least a given one, and that share is the token's
+own p-value against being ordinary. Benjamini-Hochberg holds the share of false reports
+below ``RATE`` within each band of lengths of each document. The table is constant and a
+document is judged by itself, so a token is judged alike in any corpus. Runs of letters
+alone are never reported and count in no band.
 """
 
 from __future__ import annotations
@@ -26,33 +28,82 @@ ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
-LEAST, FLOOR, RATE = 20, 0.001, 0.02
+#: Least length of a token, and the share of false reports.
+LEAST, RATE = 20, 0.03
 TOKEN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
-#: Least lengths of the bands, and the limit of the p-value in each: for alphabets of one case with digits, and for all
-#: others. Common words of four languages, joined to the least length of a band in the forms that programs and addresses
-#: give them (with digits or a year, capitals, separators), have less in all but ``RATE`` of the cases, whichever the form.
-#: A limit above 1 is never reached: short tokens of one case can't be told from words.
-BANDS = (20, 24, 32, 48)
-ONE_CASE, MIXED = (2.0, 2.0, 1.0, 0.056), (1.0, 0.316, 0.0316, FLOOR)
+#: Least lengths of the bands, and steps of the battery's p-value.
+BANDS = (20, 24, 32, 40, 48, 64)
+STEPS = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0)
+#: For each band, the share of ordinary tokens of its least length that reach each step, for alphabets of one
+#: case with digits and for all others. Ordinary tokens are common words of four languages, joined in the forms that programs
+#: and addresses give them (with digits or a year, capitals, separators), 4,000 of each form; the worst form counts, and no
+#: share is less than one in 4,000.
+ONE_CASE = (
+    (0.8642, 0.8615, 0.7903, 0.7093, 0.5720, 0.3805, 0.0710),
+    (0.7760, 0.7465, 0.6737, 0.5753, 0.3563, 0.2127, 0.0200),
+    (0.5098, 0.4047, 0.3043, 0.2357, 0.1230, 0.0457, 0.0032),
+    (0.2137, 0.1610, 0.1085, 0.0585, 0.0238, 0.0035, 0.00025),
+    (0.0500, 0.0400, 0.0190, 0.0077, 0.0018, 0.00025, 0.00025),
+    (0.0008, 0.00025, 0.00025, 0.00025, 0.00025, 0.00025, 0.00025),
+)
+MIXED = (
+    (0.6542, 0.6312, 0.4858, 0.4333, 0.2347, 0.0915, 0.0015),
+    (0.5248, 0.3982, 0.3498, 0.2185, 0.0707, 0.0227, 0.00025),
+    (0.1930, 0.1270, 0.0715, 0.0262, 0.0095, 0.0005, 0.00025),
+    (0.0267, 0.0143, 0.0053, 0.0010, 0.00025, 0.00025, 0.00025),
+    (0.0022, 0.0005, 0.00025, 0.00025, 0.00025, 0.00025, 0.00025),
+    (0.00025, 0.00025, 0.00025, 0.00025, 0.00025, 0.00025, 0.00025),
+)
+#: Entries that are taken one by one before sums go on from part to part.
+_PART = 64
 _SPANS = "array<struct<a:int,b:int,m:string>>"
 
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _parts(values: Column) -> Column:
+    """The array ``values``, which is at hand already, in parts of ``_PART`` entries."""
+    last = F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / _PART).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * _PART + 1, F.lit(_PART)))
+
+
+def _before(values: Column, merge) -> Column:
+    """For each entry of an array of integers, ``merge`` of all entries before it, zero for the first.
+
+    Arrays grow by copying, so parts are taken one by one, and then their entries: time grows as if
+    linear up to some hundred thousand entries.
+    """
+
+    def one_by_one(v: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(v, start, lambda s, x: F.struct(merge(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    def whole(parts: Column) -> Column:
+        heads = one_by_one(F.transform(parts, lambda v: F.aggregate(v, F.lit(0), merge)), F.lit(0))
+        return F.flatten(F.zip_with(parts, heads, one_by_one))
+
+    return _let(values, lambda v: _let(_parts(v), whole))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as ``(a, b, m)``: code points, end exclusive, and the match.
 
-    The text is cut at the matches and lengths are added up, so time is linear in the text.
+    The text is cut at the matches and lengths are added up.
     """
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("pos"), F.expr("array()").cast(_SPANS).alias("out"))
+    parts = F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
-    def add(s: Column, x: Column) -> Column:
-        a = s["pos"] + F.char_length(x["gap"])
-        b = a + F.char_length(x["m"])
-        return F.when(x["m"].isNull(), s).otherwise(F.struct(b.alias("pos"), F.concat(s["out"], F.array(F.struct(a.alias("a"), b.alias("b"), x["m"].alias("m")))).alias("out")))
+    def places(x: Column) -> Column:
+        gaps, found = F.slice(x["gap"], F.lit(1), F.size(x["m"])), x["m"]
+        before = _before(F.zip_with(gaps, found, lambda g, m: F.char_length(g) + F.char_length(m)), lambda u, v: u + v)
+        starts = F.zip_with(before, gaps, lambda n, g: n + F.char_length(g))
+        return F.zip_with(starts, found, lambda n, m: F.struct(n.alias("a"), (n + F.char_length(m)).alias("b"), m.alias("m")))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, add, lambda s: s["out"])).otherwise(F.expr("array()").cast(_SPANS))
+    return F.when(text.rlike(pattern), _let(parts, places)).otherwise(F.expr("array()").cast(_SPANS))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -100,15 +151,32 @@ def randomness(token: Column) -> Column:
     return F.element_at(F.transform(F.array(whole), score), 1)
 
 
-def _limit(token: Column) -> Column:
-    """Least p-value at which a token is reported."""
-    at = sum((F.when(F.length(token) >= b, 1).otherwise(0) for b in BANDS[1:]), F.lit(1))
+def _band(token: Column) -> Column:
+    return sum((F.when(F.length(token) >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
+
+
+def ordinary(token: Column, p: Column) -> Column:
+    """The share of ordinary tokens of this length and encoding that the battery finds as random as ``p``."""
+    step = sum((F.when(p >= x, 1).otherwise(0) for x in STEPS), F.lit(0))
+    table = F.array(*(F.lit(x) for row in (*ONE_CASE, *MIXED) for x in (1.0, *row)))
     one_case = token.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$")
-    return F.when(one_case, F.element_at(F.array(*(F.lit(x) for x in ONE_CASE)), at)).otherwise(F.element_at(F.array(*(F.lit(x) for x in MIXED)), at))
+    row = _band(token) - 1 + F.when(one_case, 0).otherwise(len(BANDS))
+    return F.element_at(table, row * (1 + len(STEPS)) + step + 1)
+
+
+def _limits(tokens: Column) -> Column:
+    """For each band, the greatest share that Benjamini-Hochberg reports among ``tokens``; below zero if none."""
+
+    def limit(band: Column) -> Column:
+        shares = F.array_sort(F.transform(F.filter(tokens, lambda t: t["band"] == band), lambda t: t["share"]))
+        passed = lambda x: F.filter(F.transform(x, lambda p, i: F.when(p * F.size(x) <= RATE * (i + 1), p)), lambda p: p.isNotNull())
+        return _let(shares, lambda x: F.coalesce(F.array_max(passed(x)), F.lit(-1.0)))
+
+    return F.transform(F.array(*(F.lit(i + 1) for i in range(len(BANDS)))), limit)
 
 
 def scan(docs: DataFrame, *keep: Column) -> DataFrame:
-    """``(doc_id, assign, access, hex, tokens)`` and the columns ``keep``: base spans, and all tokens with whether the battery reports them."""
+    """``(doc_id, assign, access, hex, tokens)`` and the columns ``keep``: base spans, and all tokens that aren't letters alone with band and share."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"), *keep)
     keep = rows.columns[2:]
@@ -116,11 +184,11 @@ def scan(docs: DataFrame, *keep: Column) -> DataFrame:
     assign = F.filter("assign", lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 12)
 
     def rate(x: Column) -> Column:
-        p, word = randomness(x["m"]), x["m"].rlike("^[A-Za-z][a-z]*$")
-        return F.struct(x["a"].alias("a"), x["b"].alias("b"), (~word & (p >= F.greatest(F.lit(FLOOR), _limit(x["m"])))).alias("random"))
+        return F.struct(x["a"].alias("a"), x["b"].alias("b"), _band(x["m"]).alias("band"), ordinary(x["m"], randomness(x["m"])).alias("share"))
 
+    tokens = F.transform(F.filter("tokens", lambda x: ~x["m"].rlike("^[A-Za-z]+$")), rate)
     place = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))
-    return rows.select("doc_id", *keep, F.transform(assign, place).alias("assign"), F.transform("access", place).alias("access"), F.transform("hex", place).alias("hex"), F.transform("tokens", rate).alias("tokens"))
+    return rows.select("doc_id", *keep, F.transform(assign, place).alias("assign"), F.transform("access", place).alias("access"), F.transform("hex", place).alias("hex"), tokens.alias("tokens"))
 
 
 def _entries(i: int, kind: str) -> Column:
@@ -136,7 +204,13 @@ def _joined(kinds: tuple[str, ...]) -> Column:
 
 def _settled(scanned: DataFrame) -> DataFrame:
     """``scanned`` with the column ``random``: the tokens that the battery adds, apart from those that overlap a base span."""
-    rows = scanned.withColumn("base", F.concat("assign", "access", "hex")).withColumn("added", F.filter("tokens", lambda t: t["random"]))
+
+    def reported(tokens: Column) -> Column:
+        return _let(_limits(tokens), lambda limit: F.filter(tokens, lambda t: t["share"] <= F.element_at(limit, t["band"])))
+
+    rows = scanned.withColumn("base", F.concat("assign", "access", "hex"))
+    added = F.when(F.size("tokens") > 0, _let(F.col("tokens"), reported)).otherwise(F.slice("tokens", 1, 0))
+    rows = rows.withColumn("added", added)
     apart = F.filter("added", lambda t: ~F.exists("base", lambda x: (x["a"] < t["b"]) & (t["a"] < x["b"])))
     return rows.withColumn("random", F.transform(apart, lambda t: F.struct(t["a"].alias("a"), t["b"].alias("b")))).drop("base", "added", "tokens")
 
@@ -161,12 +235,21 @@ def redact(docs: DataFrame) -> DataFrame:
     rows = rows.select("row", spans.alias("spans"))
     text = F.col("row.text").cast("string")
 
-    def cut(s: Column, x: Column) -> Column:
-        apart = F.struct(x["b"].alias("pos"), F.concat(s["out"], F.substring(text, s["pos"] + 1, x["a"] - s["pos"]), F.lit("["), x["k"], F.lit("]")).alias("out"))
-        return F.when(x["a"] >= s["pos"], apart).otherwise(F.struct(F.greatest(s["pos"], x["b"]).alias("pos"), s["out"].alias("out")))
-
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    changed = F.aggregate("spans", start, cut, lambda s: F.concat(s["out"], F.substring(text, s["pos"] + 1, F.char_length(text))))
+    def pieces(part: Column) -> Column:
+        """What stands before each span of a part, cut from the part's own stretch of the text, and its kind."""
+        first = F.element_at(part, 1)["pos"]
+        stretch = F.substring(text, first + 1, F.element_at(part, -1)["a"] - first)
+        one = lambda t, x: F.concat(F.substring(t, x["pos"] - first + 1, x["a"] - x["pos"]), F.lit("["), x["k"], F.lit("]"))
+        return _let(stretch, lambda t: F.array_join(F.transform(part, lambda x: one(t, x)), ""))
+
+    def cut(spans: Column) -> Column:
+        before = _before(F.transform(spans, lambda x: x["b"]), lambda u, v: F.greatest(u, v))
+        placed = F.zip_with(spans, before, lambda x, n: F.struct(n.alias("pos"), x["a"].alias("a"), x["k"].alias("k")))
+        # A span that begins before another's end belongs to that one.
+        return _let(F.filter(placed, lambda x: x["a"] >= x["pos"]), lambda kept: F.array_join(F.transform(_parts(kept), pieces), ""))
+
+    end = F.array_max(F.transform("spans", lambda x: x["b"]))
+    changed = F.concat(_let(F.col("spans"), cut), F.substring(text, end + 1, F.char_length(text)))
     rows = rows.withColumn("changed", F.when(F.size("spans") > 0, changed))
     new = {"text": F.coalesce("changed", text), "n_chars": F.coalesce(F.char_length("changed"), F.col("row.n_chars") if "n_chars" in names else F.lit(None))}
     return rows.select(*((new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"row.`{c}`")).alias(c) for c in names))
