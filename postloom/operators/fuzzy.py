@@ -28,8 +28,8 @@ def variants(word: Column, edits: int) -> Column:
     return out
 
 
-def similar_words(vocabulary: DataFrame) -> DataFrame:
-    """``(word, similar, dist)`` of ``vocabulary(word, df)``.
+def similar_words(vocabulary: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """``(word, similar, dist)`` of ``vocabulary(word, df)``, for all words or those in ``only``.
 
     Within the bound of the word's length, for partners that are not much rarer (a tenth of the word's
     own frequency, a fifth of its most frequent partner's).
@@ -38,7 +38,8 @@ def similar_words(vocabulary: DataFrame) -> DataFrame:
     pairs = None
     for edits, low, high in ((1, 0, 5), (2, 6, 10), (3, 11, 13)):
         # A word of one band may meet partners of neighbouring lengths; both sides delete as often as the word may.
-        left = words.where(F.col("n").between(low, high)).select("word", "df", "n", F.explode(variants(F.col("word"), edits)).alias("v"))
+        asked = words if only is None else words.where(F.col("word").isin(only))
+        left = asked.where(F.col("n").between(low, high)).select("word", "df", "n", F.explode(variants(F.col("word"), edits)).alias("v"))
         right = words.where(F.col("n").between(low - edits, high + edits)).select(F.col("word").alias("similar"), F.col("df").alias("df2"), F.col("n").alias("n2"), F.explode(variants(F.col("word"), edits)).alias("v"))
         near = (F.abs(F.col("n") - F.col("n2")) <= edits) & (F.col("word") != F.col("similar")) & (F.col("df2") >= F.floor(F.col("df") / 10))
         met = left.join(right, "v").where(near).select("word", "similar", "df2", F.lit(edits).alias("bound")).distinct()

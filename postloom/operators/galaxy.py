@@ -64,6 +64,25 @@ def warp_list(messages: DataFrame, archives: DataFrame, msgid: str, current: int
     return messages.where(F.col("msgid") == msgid).join(archives, messages["archive"] == archives["archive_id"]).select("archive_id", "name", "available", (F.col("archive_id") == current).alias("current"), "depth", "n_children", (F.col("child_total") - 1).alias("descendants"))
 
 
+def indirect_children(links: DataFrame) -> DataFrame:
+    """``(parent, children)``: the links of ``indirect_links`` from above, children in order of their ids."""
+    return links.groupBy("parent").agg(F.sort_array(F.collect_set("child")).alias("children"))
+
+
+def warp_relatives(messages: DataFrame, links: DataFrame, msgid: str) -> DataFrame:
+    """``(msgid, relation, archive_id)``: indirect parents and children of a message, and where each can be seen."""
+    up = links.where(F.col("child") == msgid).select(F.col("parent").alias("msgid"), F.lit("parent").alias("relation"))
+    down = links.where(F.col("parent") == msgid).select(F.col("child").alias("msgid"), F.lit("child").alias("relation"))
+    return messages.join(up.union(down), "msgid").select("msgid", "relation", F.col("archive").alias("archive_id")).distinct()
+
+
+def locate(messages: DataFrame, archives: DataFrame, current: str) -> DataFrame:
+    """``(msgid, archive)``: where an id leads from the archive ``current``: there if it has it, else to the first one that is available; null if none is."""
+    rows = messages.select("msgid", F.col("archive").alias("archive_id")).join(archives.select("archive_id", "available"), "archive_id", "left")
+    here = F.max(F.when(F.col("archive_id") == current, F.col("archive_id")))
+    return rows.groupBy("msgid").agg(F.coalesce(here, F.min(F.when(F.col("available"), F.col("archive_id")))).alias("archive"))
+
+
 def resolve(messages: DataFrame, archives: DataFrame) -> DataFrame:
     """``(msgid, archive)``: the first available archive of each message."""
     ready = archives.where("available").select(F.col("archive_id").alias("archive"))

@@ -13,24 +13,37 @@ from ..work import kept, partitions
 
 
 def ascend(links: DataFrame, rounds: int | None = None) -> DataFrame:
-    """``(idx, root, depth, total, path)`` of a forest ``links(idx, parent[, step])``.
+    """``(idx, root, depth, total, path[, weight])`` of a forest ``links(idx, parent[, step][, weight])``.
 
-    ``root`` is the farthest ancestor, ``depth`` the links to it, ``total`` the nodes of the subtree
-    and ``path`` the sum of ``step`` from the root's to the node's own (1 where there is no such column).
-    ``rounds`` stops early, for tables that may have cycles; then ``up`` tells who has ancestors left.
+    ``root`` is the farthest ancestor, ``depth`` the links to it, ``total`` the nodes of the subtree, ``path``
+    the sum of ``step`` from the root's to the node's own (1 where there is no such column), and ``weight``
+    the sum of the column of that name over the subtree. ``rounds`` stops early, for tables that may have
+    cycles; then ``up`` tells who has ancestors left.
+
+    A round writes only the nodes that have ancestors left; what later rounds add to the subtrees of the
+    others is kept aside and added at the end.
     """
     step = F.col("step").cast("long") if "step" in links.columns else F.lit(1).cast("long")
-    now = links.select("idx", F.col("parent").alias("up"), F.coalesce("parent", "idx").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.lit(1).cast("long").alias("total"), step.alias("path"))
+    sums = ["total", "weight"] if "weight" in links.columns else ["total"]
+    own = [F.lit(1).cast("long").alias("total"), *(F.col(c).cast("long").alias(c) for c in sums[1:])]
+    now = links.select("idx", F.col("parent").alias("up"), F.coalesce("parent", "idx").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), step.alias("path"), *own)
     now, turn = kept(now, "ascend"), 0
-    while rounds is None or turn < rounds:
-        if now.where("up is not null").isEmpty():
-            break
+    settled, active, late = now.where("up is null"), now.where("up is not null"), None
+    while (rounds is None or turn < rounds) and not active.isEmpty():
         turn += 1
-        gain = now.where("up is not null").groupBy(F.col("up").alias("idx")).agg(F.sum("total").alias("gain"))
-        above = now.select(F.col("idx").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
-        now = now.join(above, "up", "left").join(gain, "idx", "left").select("idx", F.col("up2").alias("up"), F.coalesce("root2", "root").alias("root"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("gain", F.lit(0))).alias("total"), (F.col("path") + F.coalesce("path2", F.lit(0))).alias("path"))
+        gain = active.groupBy(F.col("up").alias("idx")).agg(*(F.sum(c).alias(f"{c}2") for c in sums))
+        above = settled.union(active).select(F.col("idx").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
+        more = gain.join(active.select("idx"), "idx", "left_anti")
+        late = more if late is None else late.union(more)
+        plus = lambda c: (F.col(c) + F.coalesce(f"{c}2", F.lit(0))).alias(c)
+        now = active.join(above, "up", "left").join(gain, "idx", "left").select("idx", F.col("up2").alias("up"), F.coalesce("root2", "root").alias("root"), plus("depth"), plus("path"), *map(plus, sums))
         now = kept(now, "ascend")
-    return now if rounds is not None else now.drop("up")
+        settled, active = settled.union(now.where("up is null")), now.where("up is not null")
+    out = settled.union(active)
+    if late is not None:
+        late = late.groupBy("idx").agg(*(F.sum(f"{c}2").alias(f"{c}2") for c in sums))
+        out = kept(out.join(late, "idx", "left").select("idx", "up", "root", "depth", "path", *((F.col(c) + F.coalesce(f"{c}2", F.lit(0))).alias(c) for c in sums)), "ascended")
+    return out if rounds is not None else out.drop("up")
 
 
 def break_loops(links: DataFrame) -> DataFrame:

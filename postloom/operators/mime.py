@@ -13,21 +13,21 @@ from pyspark.sql import DataFrame
 
 from ..functions.text import MOJIBAKE
 
-#: What is counted to tell three code pages apart, and their order in a tie.
+#: What is counted to tell three code pages apart, how much each letter counts, and the order in a tie.
 CHARSETS = ("iso8859-2", "cp1250", "cp852")
-LETTERS = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ"
+LETTERS = "ĄĆĘŁŃÓŚŹŻąćęłńóśźż"
+WEIGHTS = (1, 1, 1, 1, 1, 1, 1, 1, 1, 15, 10, 16, 19, 1, 13, 13, 1, 18)
 _FIX = str.maketrans({a: b for a, b in MOJIBAKE})
 _TAG = re.compile(r"<[^>]*>")
 
 
 def guess(raw: bytes) -> str:
-    """The text of bytes that declare no charset: UTF-8 if valid, else the code page with the most letters of the language."""
+    """The text of bytes that declare no charset: UTF-8 if valid, else the code page whose letters of the language weigh most."""
     try:
         return raw.decode("utf-8")
     except UnicodeDecodeError:
         texts = [raw.decode(c, errors="replace") for c in CHARSETS]
-        best = max(texts, key=lambda t: sum(t.count(x) for x in LETTERS))
-        return best
+        return max(texts, key=lambda t: sum(w * t.count(x) for x, w in zip(LETTERS, WEIGHTS, strict=True)))
 
 
 def _decoded(part: email.message.Message) -> str:

@@ -75,16 +75,18 @@ def apply_links(conn: DataFrame, links: DataFrame) -> DataFrame:
     return kept(connectivity(rows), "connectivity")
 
 
-def repair(messages: DataFrame, conn: DataFrame, index: DataFrame, rounds: int = 8) -> tuple[DataFrame, bool]:
-    """Links by quotation until none is found, then by shared references, and again until all is stable."""
+def repair(messages: DataFrame, conn: DataFrame, index: DataFrame) -> tuple[DataFrame, bool]:
+    """The connectivity after links by quotation and by shared references until there is none left, and whether any was found.
+
+    Each link makes a root a child and none is ever cut, so the rounds end.
+    """
     changed = False
-    for _ in range(rounds):
+    while True:
         found = False
-        for links in (quote_links(messages, conn, index), group_links(messages, conn)):
-            links = kept(links, "links")
-            if not links.isEmpty():
-                conn, found, changed = apply_links(conn, links), True, True
+        for links in (quote_links, group_links):
+            got = kept(links(messages, conn, index) if links is quote_links else links(messages, conn), "links")
+            if not got.isEmpty():
+                conn, found, changed = apply_links(conn, got), True, True
                 index = index.drop("child_bucket").join(conn.select("idx", child_bucket(F.col("child_total")).alias("child_bucket")), "idx")
         if not found:
-            break
-    return conn, changed
+            return conn, changed

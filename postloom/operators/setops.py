@@ -86,9 +86,14 @@ def named_like(archives: DataFrame, part: str) -> DataFrame:
     return archives.where(F.col("name").contains(part))
 
 
+def by_hash(seed: int) -> list[Column]:
+    """An order that a seed decides: by a hash of seed and number."""
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col("idx").cast("string"))), F.col("idx")]
+
+
 def shuffled(messages: DataFrame, seed: int) -> DataFrame:
-    """Training order: by a hash of seed and number."""
-    return messages.orderBy(F.xxhash64(F.lit(seed), "idx"), "idx")
+    """Training order."""
+    return messages.orderBy(*by_hash(seed))
 
 
 def counters(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -2,23 +2,30 @@
 
 Prediction joins the distinct features of a message with the model and sums per
 message once for all classifiers. Training is sequential by nature: messages in one
-order update the model one after the other, on one task.
+order update the model and the classifiers' weights one after the other, on one task.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_grams, logistic
+from ..work import kept
+from .setops import by_hash
 
 #: Fixed values of the feature window, smoothing and margins.
 GRAM, TEXT_MOST, SMOOTH = 4, 3000, 0.1
 MODEL = "feature string, logist double, bwinnow_upper double, bwinnow_lower double, nsnb_spam double, nsnb_ham double, nsnb_confidence double, pam double, pa double, winnow double, hit_spam double, hit_ham double, hit double, nb_spam double, nb_ham double"
 DEFAULTS = {"logist": 0.0, "bwinnow_upper": 2.0, "bwinnow_lower": 1.0, "nsnb_spam": 0.0, "nsnb_ham": 0.0, "nsnb_confidence": 1.0, "pam": 0.0, "pa": 0.0, "winnow": 1.0, "hit_spam": 0.0, "hit_ham": 0.0, "hit": 0.0, "nb_spam": 0.0, "nb_ham": 0.0}
+#: The score above which a message counts as spam, and by how much a classifier's weight moves.
+MARK, WEIGHT_STEP = 0.5, 0.02
+#: Rows of the trained table that hold a classifier's weight; no feature is longer than ``GRAM``.
+_WEIGHT = "weight of "
 CLASSIFIERS = ("bwinnow", "lr", "nb", "nsnb", "winnow", "pa", "pam", "hit")
 
 
@@ -68,53 +75,95 @@ def band(score: Column) -> Column:
     return F.when(score < 0.35, "valid").when(score <= 0.5, "unsure/valid").when(score <= 0.65, "unsure/spam").otherwise("spam")
 
 
-def train(labelled: DataFrame) -> DataFrame:
-    """The model after one pass over ``labelled(idx, body, spam)`` in order of ``idx``.
+def _scores(own: list[dict[str, float]], n_spam: int, n_ham: int) -> dict[str, float]:
+    """What ``predict`` gives for one message, from the model as it stands in training."""
+
+    def odds(name: str) -> float:
+        seen = [f for f in own if f[f"{name}_spam"] + f[f"{name}_ham"] > 0]
+        scale = (n_ham + 2 * SMOOTH) / (n_spam + 2 * SMOOTH)
+        return sum(math.log((f[f"{name}_spam"] + SMOOTH) / (f[f"{name}_ham"] + SMOOTH) * scale * f.get(f"{name}_confidence", 1.0)) for f in seen) + math.log((n_spam + SMOOTH) / (n_ham + SMOOTH))
+
+    mean = lambda name: sum(f[name] for f in own) / len(own)
+    raw = {
+        "bwinnow": mean("bwinnow_upper") - mean("bwinnow_lower") - 1, "lr": sum(f["logist"] for f in own) / 10, "nb": odds("nb") / 3200, "nsnb": odds("nsnb") / 3200,
+        "winnow": mean("winnow") - 1, "pa": sum(f["pa"] for f in own), "pam": sum(f["pam"] for f in own) / 1.25, "hit": sum(f["hit"] for f in own) / 60,
+    }
+    return {c: 1 / (1 + math.exp(-max(-50.0, min(50.0, raw[c])))) for c in CLASSIFIERS}
+
+
+def _reweighed(weights: dict[str, float], scores: dict[str, float], spam: bool) -> None:
+    """A right ensemble takes a step from the classifiers that were wrong, a wrong one gives a step to those that were not below the mark."""
+    mean = sum(scores[c] * weights[c] for c in CLASSIFIERS) / sum(weights.values())
+    right = (mean > MARK) == spam
+    for c in CLASSIFIERS:
+        if right and (scores[c] > MARK) != spam:
+            weights[c] -= WEIGHT_STEP
+        elif not right and (scores[c] > MARK) == spam:
+            weights[c] += WEIGHT_STEP
+
+
+def train(labelled: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """The model and the classifiers' weights after one pass over ``labelled(idx, body, spam)`` in order of ``idx``.
 
     Each message moves the weights of its features until the classifier is right by a margin or has tried often
-    enough. The training set is hand-labelled and bounded; it is learnt on one task because order is the algorithm.
+    enough. Order is the algorithm, so one task learns; it holds the model and a batch of messages, however many there are.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table: dict[str, dict[str, float]] = {}
-        for r in rows.sort_values("idx").itertuples():
-            own = [table.setdefault(f, dict(DEFAULTS)) for f in r.features]
-            if not own:
-                continue
-            sign = 1.0 if r.spam else -1.0
-            kind = "spam" if r.spam else "ham"
-            for f in own:
-                for c in ("nb", "nsnb", "hit"):
-                    f[f"{c}_{kind}"] += 1
-                f["hit"] = (f["hit_spam"] - f["hit_ham"]) / (f["hit_spam"] + f["hit_ham"])
-            for _ in range(100):
-                p = 1 / (1 + math.exp(-max(-50.0, min(50.0, sum(f["logist"] for f in own) / 10))))
-                if (p > 0.75) == (sign > 0) and abs(p - 0.5) > 0.25:
-                    break
-                for f in own:
-                    f["logist"] += 0.05 * ((sign > 0) - p)
-            for name, scale in (("pa", 1.0), ("pam", 1.25)):
-                loss = max(0.0, 1 - sign * sum(f[name] for f in own) / scale)
-                for f in own:
-                    f[name] += sign * min(1.0, loss / len(own))
-            for _ in range(50):
-                if sign * (sum(f["winnow"] for f in own) / len(own) - 1) > 0.1:
-                    break
-                for f in own:
-                    f["winnow"] *= 1.1 if sign > 0 else 0.9
-            for _ in range(50):
-                if sign * (sum(f["bwinnow_upper"] - f["bwinnow_lower"] for f in own) / len(own) - 1) > 0.1:
-                    break
-                for f in own:
-                    f["bwinnow_upper"] *= 1.05 if sign > 0 else 0.95
-                    f["bwinnow_lower"] *= 0.95 if sign > 0 else 1.05
-            wrong = sign * sum(math.log((f["nsnb_spam"] + SMOOTH) / (f["nsnb_ham"] + SMOOTH)) for f in own) <= 0
-            for f in own:
-                f["nsnb_confidence"] *= (1.02 if sign > 0 else 0.98) if wrong else 1.0
-        return pd.DataFrame([{"feature": k, **v} for k, v in table.items()], columns=[x.split()[0] for x in MODEL.split(", ")])
+        weights = dict.fromkeys(CLASSIFIERS, 1.0)
+        seen = {"spam": 0, "ham": 0}
+        for rows in batches:
+            for r in rows.itertuples():
+                own = [table.setdefault(f, dict(DEFAULTS)) for f in r.features]
+                kind = "spam" if r.spam else "ham"
+                if own:
+                    _reweighed(weights, _scores(own, seen["spam"], seen["ham"]), bool(r.spam))
+                    _learn(own, bool(r.spam))
+                seen[kind] += 1
+        names = [x.split()[0] for x in MODEL.split(", ")]
+        yield pd.DataFrame([{**DEFAULTS, "feature": _WEIGHT + c, "logist": w} for c, w in weights.items()], columns=names)
+        items = list(table.items())
+        for at in range(0, len(items), 10_000):
+            yield pd.DataFrame([{"feature": k, **v} for k, v in items[at : at + 10_000]], columns=names)
 
     rows = labelled.select("idx", F.col("spam").cast("boolean").alias("spam"), features(F.col("body")).alias("features"))
-    return rows.groupBy(F.lit(1).alias("one")).applyInPandas(run, MODEL)
+    learnt = kept(rows.repartition(1).sortWithinPartitions("idx").mapInPandas(run, MODEL), "spam-model")
+    extra = F.col("feature").startswith(_WEIGHT)
+    weights = {r["feature"][len(_WEIGHT) :]: r["logist"] for r in learnt.where(extra).collect()}
+    return learnt.where(~extra), {c: weights.get(c, 1.0) for c in CLASSIFIERS}
+
+
+def _learn(own: list[dict[str, float]], spam: bool) -> None:
+    sign, kind = (1.0, "spam") if spam else (-1.0, "ham")
+    for f in own:
+        for c in ("nb", "nsnb", "hit"):
+            f[f"{c}_{kind}"] += 1
+        f["hit"] = (f["hit_spam"] - f["hit_ham"]) / (f["hit_spam"] + f["hit_ham"])
+    for _ in range(100):
+        p = 1 / (1 + math.exp(-max(-50.0, min(50.0, sum(f["logist"] for f in own) / 10))))
+        if (p > 0.75) == (sign > 0) and abs(p - 0.5) > 0.25:
+            break
+        for f in own:
+            f["logist"] += 0.05 * ((sign > 0) - p)
+    for name, scale in (("pa", 1.0), ("pam", 1.25)):
+        loss = max(0.0, 1 - sign * sum(f[name] for f in own) / scale)
+        for f in own:
+            f[name] += sign * min(1.0, loss / len(own))
+    for _ in range(50):
+        if sign * (sum(f["winnow"] for f in own) / len(own) - 1) > 0.1:
+            break
+        for f in own:
+            f["winnow"] *= 1.1 if sign > 0 else 0.9
+    for _ in range(50):
+        if sign * (sum(f["bwinnow_upper"] - f["bwinnow_lower"] for f in own) / len(own) - 1) > 0.1:
+            break
+        for f in own:
+            f["bwinnow_upper"] *= 1.05 if sign > 0 else 0.95
+            f["bwinnow_lower"] *= 0.95 if sign > 0 else 1.05
+    wrong = sign * sum(math.log((f["nsnb_spam"] + SMOOTH) / (f["nsnb_ham"] + SMOOTH)) for f in own) <= 0
+    for f in own:
+        f["nsnb_confidence"] *= (1.02 if sign > 0 else 0.98) if wrong else 1.0
 
 
 def spam_messages(messages: DataFrame, conn: DataFrame, scores: DataFrame, thread: float | None = None) -> DataFrame:
@@ -133,4 +182,4 @@ def spam_messages(messages: DataFrame, conn: DataFrame, scores: DataFrame, threa
 def training_candidates(conn: DataFrame, messages: DataFrame, visited: DataFrame, seed: int) -> DataFrame:
     """Childless roots that nobody has seen, in an order that the seed decides."""
     alone = conn.where("parent is null and child_total = 1").select("idx")
-    return messages.join(alone, "idx").join(visited.select("msgid").distinct(), "msgid", "left_anti").orderBy(F.xxhash64(F.lit(seed), "idx"), "idx")
+    return messages.join(alone, "idx").join(visited.select("msgid").distinct(), "msgid", "left_anti").orderBy(*by_hash(seed))

@@ -66,22 +66,10 @@ def roots(links: DataFrame) -> DataFrame:
 
 
 def all_visited(links: DataFrame, visited: DataFrame) -> DataFrame:
-    """``(idx, all_visited)``: whether a message and everything below it were seen.
-
-    Unseen messages are counted in each subtree in the same way as its size.
-    """
-    seen = links.join(visited.select("idx").distinct().withColumn("seen", F.lit(1)), "idx", "left")
-    unseen = seen.where("seen is null").select("idx")
-    total = ascend(links.select("idx", "parent")).select("idx", "total")
-    return total.join(_weighted_total(links, unseen), "idx").select("idx", (F.col("weight") == 0).alias("all_visited"))
-
-
-def _weighted_total(links: DataFrame, marked: DataFrame) -> DataFrame:
-    """Per node, how many marked nodes its subtree has: marks as leaves of their own, counted by difference."""
-    leaf = marked.select((-F.col("idx") - 1).alias("idx"), F.col("idx").alias("parent"))
-    plain = ascend(links.select("idx", "parent")).select("idx", F.col("total").alias("plain"))
-    more = ascend(links.select("idx", "parent").union(leaf)).where("idx >= 0").select("idx", F.col("total").alias("more"))
-    return plain.join(more, "idx").select("idx", (F.col("more") - F.col("plain")).alias("weight"))
+    """``(idx, all_visited)``: whether a message and everything below it were seen; unseen ones are summed up each subtree."""
+    seen = links.join(visited.select("idx").distinct().withColumn("seen", F.lit(True)), "idx", "left")
+    unseen = ascend(seen.select("idx", "parent", F.when(F.col("seen").isNull(), 1).otherwise(0).alias("weight")))
+    return unseen.select("idx", (F.col("weight") == 0).alias("all_visited"))
 
 
 def folded_depth(links: DataFrame) -> DataFrame:

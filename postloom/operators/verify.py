@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..work import kept
 from .graph import ascend
 from .threads import thread_order
 
 
+def reached(conn: DataFrame) -> DataFrame:
+    """``idx`` of the messages that a root leads to; circles are told by their depth, which no tree of as many messages has."""
+    return ascend(conn.select("idx", "parent"), max(1, conn.count().bit_length())).where("up is null").select("idx")
+
+
 def unreachable(conn: DataFrame) -> DataFrame:
     """V1: messages that no root leads to, or that are there more than once."""
-    walked = ascend(conn.select("idx", "parent"), max(1, conn.count().bit_length())).where("up is null").select("idx")
-    return conn.groupBy("idx").agg(F.count("*").alias("n")).join(walked.withColumn("ok", F.lit(1)), "idx", "left").where("ok is null or n > 1").select("idx").distinct()
+    return conn.groupBy("idx").agg(F.count("*").alias("n")).join(reached(conn).withColumn("ok", F.lit(1)), "idx", "left").where("ok is null or n > 1").select("idx").distinct()
 
 
 def wrong_lookups(messages: DataFrame) -> DataFrame:
@@ -49,7 +54,9 @@ def duplicate_ids(messages: DataFrame) -> DataFrame:
 def report(messages: DataFrame, conn: DataFrame, has_similar: bool) -> DataFrame:
     """``(check, n_wrong)`` of all checks on one archive; V6 says whether the table of similar words is there."""
     spark = messages.sparkSession
-    parts = {"reachable": unreachable(conn), "lookup": wrong_lookups(messages), "order": out_of_order(conn), "totals": wrong_totals(conn), "unique": duplicate_ids(messages)}
+    # Order and totals are those of trees: what no root leads to is counted once, as such.
+    sound = kept(conn.join(reached(conn).distinct(), "idx", "left_semi"), "reached")
+    parts = {"reachable": unreachable(conn), "lookup": wrong_lookups(messages), "order": out_of_order(sound), "totals": wrong_totals(sound), "unique": duplicate_ids(messages)}
     out = spark.createDataFrame([("similar_words", 0 if has_similar else 1)], "check string, n_wrong long")
     for name, wrong in parts.items():
         out = out.union(wrong.agg(F.count("*").alias("n_wrong")).select(F.lit(name).alias("check"), "n_wrong"))

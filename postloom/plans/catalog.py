@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import work
 from ..functions import dates, text
-from ..operators import charts, fuzzy, galaxy, headers, lexicon, render, repair, scores, setops, spam, threads, verify
+from ..operators import charts, fuzzy, galaxy, headers, lexicon, mime, render, repair, scores, setops, spam, threads, verify
 from ..operators.graph import components
 from ..sources import tables
 from ..streaming import ingest
@@ -24,7 +24,6 @@ from .search import Flags
 
 S = SparkSession
 RULES = "10 subject ~CONV 3\n-3 from !USER\n5 subject =conv 7\n2 from ?ssist\nnot a rule"
-GROUP_A, GROUP_B = "src1", "src2"
 
 _WORD = text.ASCII_WORD.replace("'", "''")
 _KILL = text.kill_pattern().replace("'", "''")
@@ -41,8 +40,6 @@ CTES = {
     "rooted": "SELECT idx, max_by(anc, d) AS root, CAST(max(d) AS BIGINT) AS depth FROM up GROUP BY idx",
     "path": "SELECT idx, lpad(CAST(epoch AS VARCHAR), 12, '0') || lpad(CAST(idx AS VARCHAR), 12, '0') AS p FROM ev WHERE parent IS NULL UNION ALL SELECT ev.idx, p || lpad(CAST(ev.epoch AS VARCHAR), 12, '0') || lpad(CAST(ev.idx AS VARCHAR), 12, '0') FROM path JOIN ev ON ev.parent = path.idx",
     "doc": "SELECT doc_id AS idx, md5(text) || '@doc' AS msgid, source AS archive, lang, text AS body FROM documents",
-    "a": f"SELECT * FROM doc WHERE archive = '{GROUP_A}'",
-    "b": f"SELECT * FROM doc WHERE archive IN ('{GROUP_B}', 'src3')",
     "side_a": "SELECT * FROM doc WHERE coalesce(right(archive, 1) IN ('0', '2', '4', '6', '8'), FALSE)",
     "side_b": "SELECT * FROM doc WHERE NOT coalesce(right(archive, 1) IN ('0', '2', '4', '6', '8'), FALSE)",
     "said": f"SELECT idx, 0 AS type, {_TOKENS.format('body')} AS words FROM conv UNION ALL SELECT idx, 5, {_TOKENS.format('subject')} FROM conv UNION ALL SELECT idx, 6, {_TOKENS.format('author')} FROM conv",
@@ -87,10 +84,6 @@ def _query(sql: str | None):
     return add
 
 
-def _arch(spark: S, d: str, *names: str) -> DataFrame:
-    return tables.documents(spark, d).where(F.col("archive").isin(list(names))).drop("newsgroups")
-
-
 def _conn(spark: S, d: str) -> DataFrame:
     return threads.connect(tables.conversations(spark, d))
 
@@ -108,26 +101,6 @@ def dup_kill(spark: S, d: str) -> DataFrame:
     return setops.kill_duplicates(tables.documents(spark, d)).select("idx", "msgid")
 
 
-@_query("SELECT idx, msgid FROM a UNION ALL SELECT idx, msgid FROM b WHERE msgid NOT IN (SELECT msgid FROM a)")
-def merge_raw(spark: S, d: str) -> DataFrame:
-    return setops.merge(_arch(spark, d, GROUP_A), _arch(spark, d, GROUP_B, "src3")).select("idx", "msgid")
-
-
-@_query("SELECT idx, msgid FROM b WHERE msgid NOT IN (SELECT msgid FROM a)")
-def rel_complement(spark: S, d: str) -> DataFrame:
-    return setops.complement(_arch(spark, d, GROUP_B, "src3"), _arch(spark, d, GROUP_A)).select("idx", "msgid")
-
-
-@_query("SELECT idx, msgid, CAST(0 AS BIGINT) AS part FROM b WHERE msgid NOT IN (SELECT msgid FROM a) UNION ALL SELECT idx, msgid, 1 FROM a")
-def update_append(spark: S, d: str) -> DataFrame:
-    return setops.update(_arch(spark, d, GROUP_A), _arch(spark, d, GROUP_B, "src3")).select("idx", "msgid", F.col("part").cast("long").alias("part"))
-
-
-@_query("SELECT idx, msgid, CAST(0 AS BIGINT) AS part FROM a WHERE msgid NOT IN (SELECT msgid FROM b) UNION ALL SELECT idx, msgid, 1 FROM b")
-def update_overwrite(spark: S, d: str) -> DataFrame:
-    return setops.update(_arch(spark, d, GROUP_A), _arch(spark, d, GROUP_B, "src3"), overwrite=True).select("idx", "msgid", F.col("part").cast("long").alias("part"))
-
-
 def _sides(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
     """All documents in two archives: those of sources with an even number, and those of all others."""
     m = tables.documents(spark, d).drop("newsgroups")
@@ -136,23 +109,23 @@ def _sides(spark: S, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 @_query("SELECT idx, msgid FROM side_a UNION ALL SELECT idx, msgid FROM side_b y WHERE NOT EXISTS (SELECT 1 FROM side_a x WHERE x.msgid = y.msgid)")
-def merge_raw_all(spark: S, d: str) -> DataFrame:
+def merge_raw(spark: S, d: str) -> DataFrame:
     return setops.merge(*_sides(spark, d)).select("idx", "msgid")
 
 
 @_query("SELECT idx, msgid FROM side_b y WHERE NOT EXISTS (SELECT 1 FROM side_a x WHERE x.msgid = y.msgid)")
-def rel_complement_all(spark: S, d: str) -> DataFrame:
+def rel_complement(spark: S, d: str) -> DataFrame:
     a, b = _sides(spark, d)
     return setops.complement(b, a).select("idx", "msgid")
 
 
 @_query("SELECT idx, msgid, CAST(0 AS BIGINT) AS part FROM side_b y WHERE NOT EXISTS (SELECT 1 FROM side_a x WHERE x.msgid = y.msgid) UNION ALL SELECT idx, msgid, 1 FROM side_a")
-def update_append_all(spark: S, d: str) -> DataFrame:
+def update_append(spark: S, d: str) -> DataFrame:
     return setops.update(*_sides(spark, d)).select("idx", "msgid", F.col("part").cast("long").alias("part"))
 
 
 @_query("SELECT idx, msgid, CAST(0 AS BIGINT) AS part FROM side_a x WHERE NOT EXISTS (SELECT 1 FROM side_b y WHERE y.msgid = x.msgid) UNION ALL SELECT idx, msgid, 1 FROM side_b")
-def update_overwrite_all(spark: S, d: str) -> DataFrame:
+def update_overwrite(spark: S, d: str) -> DataFrame:
     return setops.update(*_sides(spark, d), overwrite=True).select("idx", "msgid", F.col("part").cast("long").alias("part"))
 
 
@@ -196,10 +169,18 @@ def timechart(spark: S, d: str) -> DataFrame:
     return charts.time_chart(tables.conversations(spark, d))
 
 
-@_query("SELECT CAST(floor((epoch - lo) * 59 / (hi - lo + 1)) AS BIGINT) AS segment, count(*) AS n, count(*) FILTER (grp = 'purchase') AS n_hits FROM ev, (SELECT min(epoch) AS lo, max(epoch) AS hi FROM ev) GROUP BY 1")
+@_query(
+    "SELECT segment, n, n_hits, CAST(floor(n * 64 / (max(n) OVER () + 1)) AS BIGINT) AS bar, strftime(make_timestamp(CAST(lo + floor(segment * (hi - lo + 1) / 59) AS BIGINT) * 1000000), '%Y-%m') AS label"
+    " FROM (SELECT CAST(floor((epoch - lo) * 59 / (hi - lo + 1)) AS BIGINT) AS segment, count(*) AS n, count(*) FILTER (grp = 'purchase') AS n_hits, min(lo) AS lo, max(hi) AS hi FROM ev, (SELECT min(epoch) AS lo, max(epoch) AS hi FROM ev) GROUP BY 1)"
+)
 def activity_hist(spark: S, d: str) -> DataFrame:
     e = tables.event_links(spark, d)
-    return charts.activity(e, 60, only=e.where("grp = 'purchase'")).select("segment", "n", "n_hits")
+    return charts.activity(e, 60, only=e.where("grp = 'purchase'"))
+
+
+@_query("SELECT CAST(floor((max(epoch) - min(epoch)) / 59 / 86400) AS BIGINT) AS days FROM ev WHERE epoch <> 0")
+def column_days(spark: S, d: str) -> DataFrame:
+    return charts.days_per_column(tables.event_links(spark, d), 60)
 
 
 @_query("SELECT 'srv' || idx % 7 AS server, max(idx * 3) AS last FROM ev WHERE idx % 2 = 0 GROUP BY 1")
@@ -289,6 +270,55 @@ def verify_counts(spark: S, d: str) -> DataFrame:
     return verify.report(tables.conversations(spark, d), _conn(spark, d), True)
 
 
+_TANGLED = f"idx // {tables.TURNS} % 5 = 0 AND EXISTS (SELECT 1 FROM conv k WHERE k.idx = conv.idx // {tables.TURNS} * {tables.TURNS} + 1)"
+
+
+@_query(
+    f"SELECT 'lookup' AS \"check\", count(*) AS n_wrong FROM conv WHERE idx % {tables.TURNS} = 1 UNION ALL SELECT 'unique', count(*) FROM conv WHERE idx % {tables.TURNS} = 1"
+    f" UNION ALL SELECT 'reachable', count(*) FROM conv WHERE {_TANGLED} UNION ALL SELECT 'totals', count(*) FROM conv WHERE NOT ({_TANGLED}) AND idx % 7 = 0 UNION ALL SELECT 'similar_words', 1"
+    f" UNION ALL SELECT 'order', count(*) FROM (SELECT row_number() OVER (ORDER BY idx) - 1 AS n, idx FROM conv WHERE NOT ({_TANGLED})) WHERE n <> idx"
+)
+def verify_broken(spark: S, d: str) -> DataFrame:
+    """An archive with repeated ids, circles, wrong totals and without a table of similar words."""
+    turn = F.col("idx") % tables.TURNS
+    first = F.col("idx") - turn
+    m = tables.conversations(spark, d)
+    twice = F.when(turn == 1, F.concat((first / tables.TURNS).cast("long").cast("string"), F.lit(".0@conv"))).otherwise(F.col("msgid"))
+    conn = _conn(spark, d).withColumn("child_total", F.col("child_total") + F.when(F.col("idx") % 7 == 0, 1).otherwise(0))
+    looped = (turn == 0) & (first / tables.TURNS % 5 == 0) & (F.size("children") > 0)
+    conn = conn.withColumn("parent", F.when(looped, F.col("idx") + 1).otherwise(F.col("parent")))
+    return verify.report(m.withColumn("msgid", twice), conn, False)
+
+
+@_query("SELECT s_suppkey AS archive_id, s_suppkey % 5 IN (0, 1, 2) AS bad_name, s_suppkey % 3 = 0 OR s_suppkey % 4 = 0 AS no_description FROM supplier")
+def archive_checks(spark: S, d: str) -> DataFrame:
+    """Names that are missing, empty or of several lines, and missing descriptions."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    named = F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 5 == 1, "").when(k % 5 == 2, F.concat(name, F.lit("\nmore"))).otherwise(name)
+    archives = tables.read(spark, d, "supplier").select(k.alias("archive_id"), named.alias("name"), F.when(k % 3 == 0, "").otherwise(name).alias("desc_short"), F.when(k % 4 == 0, F.lit(None).cast("string")).otherwise(name).alias("desc_long"))
+    bad = verify.bad_names(archives).withColumn("bad_name", F.lit(True))
+    bare = verify.missing_descriptions(archives).withColumn("no_description", F.lit(True))
+    rows = archives.select("archive_id").join(bad, "archive_id", "left").join(bare, "archive_id", "left")
+    return rows.select("archive_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("bad_name", "no_description")))
+
+
+@_query(
+    f"SELECT idx, CASE WHEN idx // {tables.TURNS} % 2 = 0 THEN parent WHEN turn = 0 AND k > 1 THEN idx + 1 WHEN turn = 1 AND k > 2 THEN idx - turn + k - 1 WHEN turn > 2 THEN idx - 1 END AS parent"
+    f" FROM (SELECT *, idx % {tables.TURNS} AS turn, count(*) OVER (PARTITION BY idx // {tables.TURNS}) AS k FROM conv)"
+)
+def loops_broken(spark: S, d: str) -> DataFrame:
+    """Even conversations are circles from their first turn; in odd ones the first turn leads into a circle of the others."""
+    from ..operators.graph import break_loops
+
+    turn, conv = F.col("idx") % tables.TURNS, F.floor(F.col("idx") / tables.TURNS)
+    m = tables.conversations(spark, d).select("idx", conv.alias("conv"), turn.alias("turn"))
+    m = m.join(m.groupBy("conv").agg(F.count("*").alias("k")), "conv")
+    last = F.col("idx") - F.col("turn") + F.col("k") - 1
+    even = F.when(F.col("turn") > 0, F.col("idx") - 1).otherwise(last)
+    odd = F.when(F.col("turn") > 1, F.col("idx") - 1).when(F.col("turn") == 1, last).when(F.col("k") > 1, F.col("idx") + 1)
+    return break_loops(m.select("idx", F.when(F.col("conv") % 2 == 0, even).otherwise(odd).alias("parent")))
+
+
 @_query("SELECT u.event_id AS node, min(v.event_id) AS root FROM events u JOIN events v ON u.user_id = v.user_id WHERE u.user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(*) > 1) GROUP BY u.event_id")
 def shared_reference_groups(spark: S, d: str) -> DataFrame:
     e = tables.read(spark, d, "events").select("user_id", "event_id")
@@ -325,22 +355,27 @@ def word_lengths(spark: S, d: str) -> DataFrame:
     return lexicon.length_histogram(lexicon.vocabulary(_index(spark, d)))
 
 
-_NEAR = "SELECT x.word, y.word AS \"similar\", y.df AS df2, levenshtein(x.word, y.word) AS dist FROM df x JOIN df y ON x.word <> y.word AND y.df >= floor(x.df / 10) AND abs(length(x.word) - length(y.word)) <= 3 WHERE levenshtein(x.word, y.word) <= CASE WHEN length(x.word) <= 5 THEN 1 WHEN length(x.word) <= 10 THEN 2 ELSE 3 END AND x.word LIKE 'th%'"
+_NEAR = "SELECT x.word, y.word AS \"similar\", y.df AS df2, levenshtein(x.word, y.word) AS dist FROM df x JOIN df y ON x.word <> y.word AND y.df >= floor(x.df / 10) AND abs(length(x.word) - length(y.word)) <= 3 WHERE levenshtein(x.word, y.word) <= CASE WHEN length(x.word) <= 5 THEN 1 WHEN length(x.word) <= 10 THEN 2 ELSE 3 END"
 
 
 @_query(f"SELECT word, \"similar\", CAST(dist AS BIGINT) AS dist FROM (SELECT *, max(df2) OVER (PARTITION BY word) AS best FROM ({_NEAR})) WHERE df2 >= floor(best / 5)")
 def lexdist(spark: S, d: str) -> DataFrame:
-    near = fuzzy.similar_words(lexicon.vocabulary(_index(spark, d)))
-    return near.where("word like 'th%'").select("word", "similar", F.col("dist").cast("long").alias("dist"))
+    return fuzzy.similar_words(lexicon.vocabulary(_index(spark, d))).select("word", "similar", F.col("dist").cast("long").alias("dist"))
 
 
-_NEAR_ALL = "SELECT x.word, y.word AS \"similar\", y.df AS df2, levenshtein(x.word, y.word) AS dist FROM df x JOIN df y ON x.word <> y.word AND y.df >= floor(x.df / 10) AND abs(length(x.word) - length(y.word)) <= 3 WHERE levenshtein(x.word, y.word) <= CASE WHEN length(x.word) <= 5 THEN 1 WHEN length(x.word) <= 10 THEN 2 ELSE 3 END"
+@_query(f"SELECT count(*) AS n_words, round(avg(n), 6) AS avg_similar FROM (SELECT word, count(*) AS n FROM (SELECT *, max(df2) OVER (PARTITION BY word) AS best FROM ({_NEAR})) WHERE df2 >= floor(best / 5) GROUP BY word)")
+def lexdist_average(spark: S, d: str) -> DataFrame:
+    return fuzzy.average_similar(fuzzy.similar_words(lexicon.vocabulary(_index(spark, d))))
 
 
-@_query(f"SELECT word, \"similar\", CAST(dist AS BIGINT) AS dist FROM (SELECT *, max(df2) OVER (PARTITION BY word) AS best FROM ({_NEAR_ALL})) WHERE df2 >= floor(best / 5)")
-def lexdist_all(spark: S, d: str) -> DataFrame:
-    """Similar words of the whole vocabulary; ``lexdist`` has those of a prefix."""
-    return fuzzy.similar_words(lexicon.vocabulary(_index(spark, d))).select("word", "similar", F.col("dist").cast("long").alias("dist"))
+@_query(
+    f"SELECT idx, t.type, CAST(CASE t.type WHEN 0 THEN 1 + len({_TOKENS.format('body')}) WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN len({_TOKENS.format('subject')}) WHEN 6 THEN 1 ELSE 2 END AS BIGINT) AS n FROM conv, (SELECT unnest(range(8)) AS type) t"
+)
+def field_types(spark: S, d: str) -> DataFrame:
+    """Index words of each field of messages with an attribution, quotations of three levels and a signature."""
+    body = F.concat(F.lit("John wrote:\n> quoted one\n>> deeper\n>>> deepest\nplain "), F.translate("body", "\n", " "), F.lit("\n-- \nsig name"))
+    hits = lexicon.hits(tables.conversations(spark, d).withColumn("body", body))
+    return hits.groupBy("idx", F.col("type").cast("long").alias("type")).agg(F.count("*").alias("n"))
 
 
 _SCORE = "best * (1 + 2 * hitnum / 255.0)"
@@ -384,6 +419,38 @@ def search_prefix(spark: S, d: str) -> DataFrame:
     return _found(spark, d, "tha*", Flags(set_logic=True))
 
 
+def _term_sql(word: str, type_: int) -> str:
+    return f"SELECT idx, round(sum({_SCORE}) * any_value({_THREAD}), 6) AS rank FROM post WHERE word = 'that' OR (word = '{word}' AND idx IN (SELECT idx FROM top WHERE word = '{word}' AND type = {type_})) GROUP BY idx"
+
+
+@_query(_term_sql("user", 6))
+def search_from_term(spark: S, d: str) -> DataFrame:
+    return _found(spark, d, "from:user that", Flags(set_logic=True))
+
+
+@_query(_term_sql("conv", 5))
+def search_subject_term(spark: S, d: str) -> DataFrame:
+    return _found(spark, d, "that subject:conv", Flags(set_logic=True))
+
+
+@_query(f"SELECT idx, round(sum({_SCORE}) * any_value({_THREAD}), 6) AS rank FROM post WHERE word IN ('that', 'with') GROUP BY idx HAVING count(*) = 2")
+def search_flags(spark: S, d: str) -> DataFrame:
+    """Fuzzy without a table of similar words falls away; then all words are required and set logic is off."""
+    return _found(spark, d, "that with", Flags(require_all=True, set_logic=True, fuzzy=True))
+
+
+@_query("SELECT idx, round(best, 6) AS rank FROM post WHERE word = 'that'")
+def search_simple(spark: S, d: str) -> DataFrame:
+    return _found(spark, d, "that", Flags(simple=True))
+
+
+@_query("SELECT idx, epoch FROM conv WHERE idx IN (SELECT idx FROM post WHERE word = 'that') ORDER BY epoch DESC, idx LIMIT 20")
+def result_order(spark: S, d: str) -> DataFrame:
+    """The twenty newest messages that were found."""
+    found = search_plan.search(_index(spark, d), "that", Flags())
+    return search_plan.ordered(found, tables.conversations(spark, d), "newest").limit(20).select("idx", "epoch")
+
+
 @_query(f"SELECT p.idx, round({_SCORE} * {_THREAD}, 6) AS rank FROM post p WHERE word = 'user' AND idx IN (SELECT idx FROM top WHERE word = 'user' AND type = 6)")
 def search_field(spark: S, d: str) -> DataFrame:
     return _found(spark, d, "user", Flags(), only="from")
@@ -394,7 +461,7 @@ def search_field(spark: S, d: str) -> DataFrame:
 )
 def search_fuzzy(spark: S, d: str) -> DataFrame:
     index = _index(spark, d)
-    near = fuzzy.similar_words(lexicon.vocabulary(index).where("length(word) between 3 and 6"))
+    near = fuzzy.similar_words(lexicon.vocabulary(index), ["that"])
     return search_plan.search(index, "that", Flags(fuzzy=True), near).select("idx", F.round("rank", 6).alias("rank"))
 
 
@@ -429,6 +496,36 @@ def galaxy_resolve(spark: S, d: str) -> DataFrame:
     return galaxy.resolve(m, m.select(F.col("archive").alias("archive_id")).distinct().withColumn("available", F.col("archive_id") != "src0"))
 
 
+@_query("SELECT msgid, CASE WHEN bool_or(archive = 'src3') THEN 'src3' ELSE min(archive) FILTER (archive <> 'src0') END AS archive FROM doc GROUP BY msgid")
+def galaxy_locate(spark: S, d: str) -> DataFrame:
+    """Where an id leads from one archive: to itself, or to the first other one that can be opened."""
+    m = tables.documents(spark, d)
+    ready = m.select(F.col("archive").alias("archive_id")).distinct().withColumn("available", F.col("archive_id") != "src0")
+    return galaxy.locate(m, ready, "src3")
+
+
+def _scattered(spark: S, d: str) -> DataFrame:
+    """Turns by turns in two archives, each without the messages that its own refer to."""
+    return tables.conversations(spark, d).select("msgid", (F.col("idx") % 2).alias("archive"), F.lit(None).cast("string").alias("parent_id"), F.array().cast("array<string>").alias("child_ids"), "refs")
+
+
+@_query("SELECT p.msgid AS parent, string_agg(c.msgid, ',' ORDER BY c.msgid) AS children FROM conv c JOIN conv p ON c.parent = p.idx GROUP BY p.msgid")
+def indirect_children(spark: S, d: str) -> DataFrame:
+    return galaxy.indirect_children(galaxy.indirect_links(_scattered(spark, d))).select("parent", F.array_join("children", ",").alias("children"))
+
+
+@_query("SELECT msgid, CAST(1 AS BIGINT) AS n_groups, CASE WHEN parent IS NOT NULL AND down THEN 'BothDifferent' WHEN parent IS NOT NULL THEN 'ParentDifferent' WHEN down THEN 'ChildrenDifferent' ELSE 'Nothing' END AS state FROM (SELECT *, EXISTS (SELECT 1 FROM conv k WHERE k.parent = conv.idx) AS down FROM conv)")
+def galaxy_indirect_state(spark: S, d: str) -> DataFrame:
+    m = _scattered(spark, d)
+    return galaxy.states(m, galaxy.indirect_links(m))
+
+
+@_query("SELECT msgid, relation, archive_id FROM (SELECT p.msgid, 'parent' AS relation, p.idx % 2 AS archive_id FROM conv c JOIN conv p ON c.parent = p.idx WHERE c.msgid = '3.1@conv' UNION ALL SELECT k.msgid, 'child', k.idx % 2 FROM conv c JOIN conv k ON k.parent = c.idx WHERE c.msgid = '3.1@conv')")
+def warp_relatives(spark: S, d: str) -> DataFrame:
+    m = _scattered(spark, d)
+    return galaxy.warp_relatives(m, galaxy.indirect_links(m), "3.1@conv")
+
+
 # Scores and spam.
 
 
@@ -455,35 +552,34 @@ def nb_score(spark: S, d: str) -> DataFrame:
     return spam.naive_bayes(rows, spam.naive_bayes_model(rows), n["s"], n["h"]).select("idx", F.round("score", 6).alias("score"))
 
 
+@_query("SELECT idx, md5('7:' || idx) AS key FROM ev JOIN sized USING (idx) WHERE parent IS NULL AND total = 1 AND grp <> 'error'")
+def spam_candidates(spark: S, d: str) -> DataFrame:
+    """Roots without answers that nobody has seen, and what their order in training is."""
+    e = tables.event_links(spark, d).withColumn("msgid", F.col("idx").cast("string"))
+    conn = e.join(threads.roots(e).select("idx", F.col("total").alias("child_total")), "idx")
+    return spam.training_candidates(conn.select("idx", "parent", "child_total"), e.select("idx", "msgid"), e.where("grp = 'error'"), 7).select("idx", setops.by_hash(7)[0].alias("key"))
+
+
 @_query(None)
 def spam_predict(spark: S, d: str) -> DataFrame:
     rows = tables.labelled(spark, d)
     n = rows.agg(F.count_if("spam").alias("s"), F.count_if(~F.col("spam")).alias("h")).first()
-    return spam.predict(rows, spam.train(rows), n["s"], n["h"]).withColumn("band", spam.band(F.col("score")))
+    model, weights = spam.train(rows)
+    return spam.predict(rows, model, n["s"], n["h"], weights).withColumn("band", spam.band(F.col("score")))
 
 
 # Scalar functions.
 
 
-@_query(f"SELECT doc_id AS idx, regexp_replace('Re: RE[2]:  Odp: ' || left(text, 30), '{_KILL}', '') AS subject FROM documents")
-def subject_kill(spark: S, d: str) -> DataFrame:
-    return tables.read(spark, d, "documents").select(F.col("doc_id").alias("idx"), text.subject_kill(F.concat(F.lit("Re: RE[2]:  Odp: "), F.left("text", F.lit(30)))).alias("subject"))
-
-
-@_query(f"SELECT doc_id AS idx, {_TURN.format('left(text, 200)')} AS turned FROM documents")
-def rot13(spark: S, d: str) -> DataFrame:
-    return tables.read(spark, d, "documents").select(F.col("doc_id").alias("idx"), text.rot13(F.left("text", F.lit(200))).alias("turned"))
-
-
 @_query(f"SELECT doc_id AS idx, md5(regexp_replace('Re: RE[2]:  Odp: ' || text, '{_KILL}', '')) AS subject FROM documents")
-def subject_kill_all(spark: S, d: str) -> DataFrame:
-    """``subject_kill`` of whole texts, as digests."""
+def subject_kill(spark: S, d: str) -> DataFrame:
+    """Of whole texts, as digests."""
     return tables.read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.md5(text.subject_kill(F.concat(F.lit("Re: RE[2]:  Odp: "), F.col("text")))).alias("subject"))
 
 
 @_query(f"SELECT doc_id AS idx, md5({_TURN.format('text')}) AS turned FROM documents")
-def rot13_all(spark: S, d: str) -> DataFrame:
-    """``rot13`` of whole texts, as digests."""
+def rot13(spark: S, d: str) -> DataFrame:
+    """Of whole texts, as digests."""
     return tables.read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.md5(text.rot13(F.col("text"))).alias("turned"))
 
 
@@ -516,6 +612,27 @@ def text_lengths(spark: S, d: str) -> DataFrame:
     return tables.read(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.char_length(t).cast("long").alias("n_chars"), F.octet_length(t).cast("long").alias("n_bytes"), text.char_prefix(t, 17).alias("head"), F.lower(text.char_prefix(t, 17)).alias("low"))
 
 
+_MIX = "".join(x for x, _ in text.MOJIBAKE)
+
+
+@_query(
+    f"SELECT doc_id AS idx, regexp_full_match(left(text, 1), '\\p{{L}}') AS alpha, regexp_full_match(left(text, 2), '[\\p{{L}}\\p{{N}}]+') AS alnum, regexp_full_match(right(text, 1), '\\p{{P}}') AS punct, md5(replace(replace(text, ' ', ''), chr(9), '')) AS tight,"
+    f" md5(translate(text || '{_MIX}', '{_MIX}', '{''.join(x for _, x in text.MOJIBAKE)}')) AS mended, 1 / (1 + exp(-(length(text) % 9 - 4.0))) AS logistic, greatest(10, least(length(text), 1000)) AS clamped FROM documents WHERE text IS NOT NULL AND length(text) > 1"
+)
+def text_classes(spark: S, d: str) -> DataFrame:
+    t, n = F.col("text"), F.char_length("text")
+    rows = tables.read(spark, d, "documents").where(n > 1)
+    return rows.select(
+        F.col("doc_id").alias("idx"), text.is_alpha(F.left(t, F.lit(1))).alias("alpha"), text.is_alnum(F.left(t, F.lit(2))).alias("alnum"), text.is_punct(F.right(t, F.lit(1))).alias("punct"), F.md5(text.without_blanks(t)).alias("tight"),
+        F.md5(text.fix_mojibake(F.concat(t, F.lit(_MIX)))).alias("mended"), text.logistic(n % 9 - 4.0).alias("logistic"), text.clamp(n, F.lit(10), F.lit(1000)).cast("long").alias("clamped"),
+    )
+
+
+@_query("SELECT word, list_aggregate(list_transform(string_split(word, ''), lambda c: 1::BIGINT << (unicode(c) % 63)), 'bit_or') AS bits FROM df")
+def word_signatures(spark: S, d: str) -> DataFrame:
+    return lexicon.vocabulary(_index(spark, d)).select("word", text.code_point_signature(F.col("word")).alias("bits"))
+
+
 @_query("SELECT page_id AS idx, regexp_full_match(CASE page_id % 4 WHEN 0 THEN url || '@x' WHEN 1 THEN url WHEN 2 THEN 'a@b@' || url ELSE '<' || url || '@y' END, '[ -;=?A-~]+@[ -;=?A-~]+') AS valid FROM pages")
 def msgid_valid(spark: S, d: str) -> DataFrame:
     u = F.col("url")
@@ -541,6 +658,50 @@ def header_fields(spark: S, d: str) -> DataFrame:
     return m.select("idx", "msgid", "epoch", "realname", "subject", F.array_join("refs", " ").alias("refs"), F.md5("body").alias("body"))
 
 
+@_query("SELECT idx, epoch + CASE idx % 5 WHEN 0 THEN -3600 WHEN 1 THEN 18000 WHEN 2 THEN 0 WHEN 3 THEN -7200 ELSE -epoch % 60 END AS epoch FROM conv")
+def date_shapes(spark: S, d: str) -> DataFrame:
+    """Dates with weekdays, zone names, comments, dashes, and without seconds."""
+    e, k = F.timestamp_seconds("epoch"), F.col("idx") % 5
+    shown = lambda form, zone: F.concat(F.date_format(e, form), F.lit(zone))
+    date = (
+        F.when(k == 0, shown("EEE, dd MMM yyyy HH:mm:ss", " +0100 (CET)")).when(k == 1, shown("d MMM yyyy HH:mm:ss", " EST"))
+        .when(k == 2, shown("dd-MMM-yy HH:mm:ss", " GMT")).when(k == 3, shown("EEE, d MMM yyyy HH:mm:ss", " +0200")).otherwise(shown("EEE, d MMM yyyy HH:mm", " UT"))
+    )
+    raw = tables.conversations(spark, d).select("idx", F.concat(F.lit("From: a@b.c\nDate: "), date, F.lit("\n\nx")).alias("raw"))
+    return headers.messages(raw).select("idx", "epoch")
+
+
+@_query("SELECT msgid, author AS realname, 'Re: ' || subject AS subject, md5(regexp_replace(regexp_replace(body || chr(10), '(^|\\n)From ', '\\1>From ', 'g'), '^\\n+', '')) AS body FROM conv")
+def mailbox_messages(spark: S, d: str) -> DataFrame:
+    """Mailboxes of many messages each, lines that would open one marked, read back and cut into fields."""
+    from ..sources import mail
+
+    path = f"{work.shared_dir(spark)}/mailboxes-{uuid.uuid4().hex}"
+    safe = F.regexp_replace("raw", r"(\n)From ", "$1>From ")
+    raw = _raw(spark, d).select(F.concat(F.lit("From somebody\n"), safe).alias("value"), F.pmod("idx", F.lit(8)).alias("box"))
+    raw.repartition("box").select("value").write.text(path)
+    found = mail.mbox(spark, f"{path}/*.txt").select("idx", F.decode("content", "UTF-8").alias("raw"))
+    return headers.messages(found).select("msgid", "realname", "subject", F.md5("body").alias("body"))
+
+
+@_query("SELECT idx, strlen('From: a@b.c' || chr(10) || 'Subject: ' || subject || chr(10, 10) || body) AS n_bytes FROM conv".replace("chr(10, 10)", "chr(10) || chr(10)"))
+def raw_size(spark: S, d: str) -> DataFrame:
+    raw = tables.conversations(spark, d).select("idx", F.concat(F.lit("From: a@b.c\nSubject: "), "subject", F.lit("\n\n"), "body").alias("raw"))
+    return headers.messages(raw).select("idx", F.col("size").cast("long").alias("n_bytes"))
+
+
+@_query("SELECT idx, md5('From: a@b.c' || chr(10) || 'Subject: zażółć ' || idx || chr(10) || chr(10) || regexp_replace(body, '[^\\x20-\\x7E]', '', 'g') || CASE idx % 3 WHEN 0 THEN ' ąćę' WHEN 1 THEN ' ąłż' ELSE ' łą' END) AS raw FROM conv")
+def utf8_messages(spark: S, d: str) -> DataFrame:
+    """Encoded header words, and bodies in three code pages that no header names."""
+    word = F.base64(F.encode(F.concat(F.lit("zażółć "), F.col("idx").cast("string")), "UTF-8"))
+    plain = F.regexp_replace("body", r"[^\x20-\x7E]", "")
+    k = F.col("idx") % 3
+    tail = F.when(k == 0, F.unhex(F.lit("20B9E6EA"))).when(k == 1, F.unhex(F.lit("20B1B3BF"))).otherwise(F.unhex(F.lit("2088A5")))
+    head = F.concat(F.lit("From: a@b.c\nSubject: =?UTF-8?B?"), word, F.lit("?=\n\n"), plain)
+    rows = tables.conversations(spark, d).select("idx", F.concat(F.encode(head, "UTF-8"), tail).alias("content"))
+    return mime.to_utf8(rows).select("idx", F.md5("raw").alias("raw"))
+
+
 @_query("SELECT idx, CAST(CASE idx % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS BIGINT) AS level FROM ev")
 def quote_levels(spark: S, d: str) -> DataFrame:
     mark = F.element_at(F.array(F.lit("text"), F.lit("> a"), F.lit("AB>> b"), F.lit(": > c :)")), (F.col("idx") % 4 + 1).cast("int"))
@@ -605,7 +766,7 @@ def quote_repair(spark: S, d: str) -> DataFrame:
     before = m.select((F.col("idx") + 1).alias("idx"), F.regexp_extract("body", r"^([^\n]*)", 1).alias("said"))
     m = m.join(before, "idx", "left").withColumn("body", F.concat(F.coalesce(F.concat(F.lit("> "), "said", F.lit("\n")), F.lit("")), "body")).withColumn("refs", F.array().cast("array<string>"))
     conn = threads.connect(m)
-    return repair.quote_links(m, conn, lexicon.postings(m, conn))
+    return repair.repair(m, conn, lexicon.postings(m, conn))[0].select("idx", "parent")
 
 
 @_query("SELECT count(*) AS n_messages, count(*) FILTER (parent IS NULL) AS n_toplevel FROM conv")
@@ -650,10 +811,10 @@ def next_unread(spark: S, d: str) -> DataFrame:
     return setops.next_unread(m, m.where("author = 'user'"), 5000)
 
 
-@_query(None)
+@_query("SELECT idx, md5('7:' || idx) AS key FROM conv")
 def training_order(spark: S, d: str) -> DataFrame:
     m = tables.conversations(spark, d)
-    return setops.shuffled(m.select("idx"), 7)
+    return setops.shuffled(m.select("idx"), 7).select("idx", setops.by_hash(7)[0].alias("key"))
 
 
 @_query("SELECT word, r[1] AS type, r[2] AS pos, idx FROM (SELECT word, idx, [type, pos] AS r FROM (SELECT top.*, row_number() OVER (PARTITION BY word ORDER BY idx) AS n FROM top JOIN df USING (word) WHERE top.r = 1) WHERE n = 1)")

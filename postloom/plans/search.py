@@ -8,8 +8,9 @@ expressions.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.lexicon import hit_rank
@@ -17,6 +18,10 @@ from ..schema import FAR, FUZZY_WEIGHTS, HIT_MASKS, HIT_TYPES, RESULT_HITS
 from ..work import kept
 
 
+#: Fixed value: words that a prefix stands for.
+PREFIX_WORDS = 1024
+
+
 @dataclass(frozen=True)
 class Flags:
     require_all: bool = False
@@ -70,16 +75,23 @@ def parse(query: str, flags: Flags, lowercase: bool = True) -> list[Term]:
 def query_words(index: DataFrame, terms: list[Term], flags: Flags, similar: DataFrame | None) -> tuple[DataFrame, int, int]:
     """``(word, grp, must, cant, field, mod)`` of the index words that the terms stand for, their groups, and the terms without one.
 
-    A term makes a group if it brings a word that no earlier term has. Words of a query, and of prefixes, come to the driver.
+    A term makes a group if it brings a word that no earlier term has. Words of a query come to the driver, and of a
+    prefix the first ``PREFIX_WORDS`` in order; one pass over the index finds those of all terms.
     """
     spark = index.sparkSession
     rows: list[tuple] = []
     seen: set[str] = set()
     groups = 0
-    exact = {t.word for t in terms if not t.prefix}
-    known = {r[0] for r in index.where(F.col("word").isin(sorted(exact))).select("word").distinct().collect()} if exact else set()
-    for t in terms:
-        words = [r[0] for r in index.where(F.col("word").startswith(t.word)).select("word").distinct().orderBy("word").collect()] if t.prefix else [t.word] if t.word in known else []
+    asked = spark.createDataFrame([(i, t.word, t.prefix) for i, t in enumerate(terms)], "term int, text string, prefix boolean")
+    named = F.when(F.col("prefix"), F.col("word").startswith(F.col("text"))).otherwise(F.col("word") == F.col("text"))
+    wanted = reduce(lambda c, t: c | (F.col("word").startswith(t.word) if t.prefix else F.col("word") == t.word), terms, F.lit(False))
+    known = index.where(wanted).select("word").distinct().join(F.broadcast(asked), named)
+    first = known.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy("word"))).where(F.col("place") <= PREFIX_WORDS)
+    found: dict[int, list[str]] = {}
+    for r in first.select("term", "word").collect():
+        found.setdefault(r["term"], []).append(r["word"])
+    for i, t in enumerate(terms):
+        words = sorted(found.get(i, []))
         new = [w for w in words if w not in seen]
         if not new:
             continue

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -11,18 +12,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..work import kept
+
 RAW = "source string, content binary"
 
 
 def _numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """Numbers that rise with ``order``; gaps between partitions are left."""
-    return rows.orderBy(*order).withColumn("idx", F.monotonically_increasing_id()).select("idx", "source", "content")
+    """Numbers that rise with ``order``; gaps between partitions are left.
+
+    The numbered rows are a table of their own, so all that reads them sees the same numbers.
+    """
+    return kept(rows.orderBy(*order).withColumn("idx", F.monotonically_increasing_id()).select("idx", "source", "content"), "numbered")
 
 
 def maildir(spark: SparkSession, path: str) -> DataFrame:
     """``(idx, source, content)``: one message a file, all folders below ``path``; dot names are skipped, carriage returns removed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    inside = F.substring("path", F.instr("path", path.rstrip("/").rpartition("/")[2]), F.length("path"))
+    # What comes after the folder's own path, however the file system spells its beginning.
+    root = "/" + re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "", path).strip("/")
+    inside = F.substring("path", F.instr("path", root) + len(root), F.length("path"))
     seen = files.where(~inside.rlike(r"/\."))
     text = F.encode(F.replace(F.decode("content", "iso-8859-1"), F.lit("\r"), F.lit("")), "iso-8859-1")
     return _numbered(seen.select(F.col("path").alias("source"), text.alias("content")), "source")

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only on one machine, where the session names no shared folder, as in tests.
 LOCAL_DEFAULT = "file:///tmp/postloom-work"
 #: Shuffle files of a finished write are no longer needed.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; without one, a local folder if all runs on this machine, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = LOCAL_DEFAULT
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
