@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..work import partitions
 from . import blocks
 from .pretokens import pretokens
 from .shared import map_batches, read, release, remove, workspace, written
@@ -37,6 +36,8 @@ BLOCK, LANES = 1024, 4
 #: Frequencies sum to 2**SCALE; states stay in [2**LOW, 2**(LOW + 32)).
 SCALE, LOW = 20, 31
 END_ID = 0
+#: Ids of a shard, in bytes as the writer holds them; a shard is sorted by one task.
+SHARD_BYTES = 32 << 20
 U = np.uint64
 _INDEX = "doc_id long, n_ids long, ids_crc32 long"
 _HEAD, _MARK = struct.Struct("<QI"), struct.Struct(f"<II{LANES}Q")
@@ -205,21 +206,26 @@ def _tally(ids: DataFrame, size: int, kind: str) -> np.ndarray:
     return out
 
 
+def _sized(ids: DataFrame, width: int) -> int:
+    """Shards of about ``SHARD_BYTES`` of ids each."""
+    return max(1, -(-(ids.agg(F.sum("n_ids")).first()[0] or 0) * width // SHARD_BYTES))
+
+
 def write_ids(docs: DataFrame, path: str, out: str, end_id: int = END_ID, shards: int | None = None) -> None:
-    """Encodes every text of ``docs`` and writes the file set ``out``.
+    """Encodes every text of ``docs`` and writes the file set ``out``, in as many shards as its bytes need.
 
-    Rows stand in ascending ``doc_id`` order, null first, rows of one ``doc_id`` by the checksum of their ids.
+    Rows stand in ascending ``doc_id`` order, null first, rows of one ``doc_id`` in an order of their own that
+    files keep, so that they too may be dealt to several shards.
     A null or empty text is its end id alone; other columns are ignored.
     """
     spark = docs.sparkSession
     size = pretokens(path).vocabulary
     kind = "<u2" if size <= 1 << 16 else "<u4"
     base = workspace(spark, "token-ids")
-    ids = written(_tokenise(docs, path, end_id, kind), base)
+    # The tie is a number of the written row, so it stays what it is when a task runs again.
+    ids = written(_tokenise(docs, path, end_id, kind).withColumn("tie", F.monotonically_increasing_id()), base)
     freq = frequencies(_tally(ids, size, kind))
-    shards = shards or max(8, partitions(spark))
-    edges = ids.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 1 / (4 * shards)) if shards > 1 else []
-    edges = np.unique(np.array(edges, np.float64)).astype(np.int64)
+    shards = shards or _sized(ids, np.dtype(kind).itemsize)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq)
@@ -230,13 +236,14 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = END_ID, shards
             origin = np.frombuffer(batch.column(2).buffers()[1], np.int32)[batch.column(2).offset]
             for lo, hi in blocks.slices(offs, 1 << 20):
                 part = raw[origin + offs[lo] : origin + offs[hi]].view(kind).astype(np.int32)
-                doc = batch.column(0).slice(lo, hi - lo)
-                shard = np.searchsorted(edges, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), doc, pa.array(n[lo:hi]), _crc32(part, n[lo:hi]), pa.array(coder.encode(part, n[lo:hi]), pa.binary())], ["shard", "doc_id", "n_ids", "ids_crc32", "payload"])
-
-    coded = ids.mapInArrow(run, f"shard int, {_INDEX}, payload binary")
-    coded = coded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids_crc32")
-    coded.write.mode("overwrite").option("compression", "none").partitionBy("shard").parquet(f"{out}/documents")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n[lo:hi]), _crc32(part, n[lo:hi]), pa.array(coder.encode(part, n[lo:hi]), pa.binary()), *(batch.column(i).slice(lo, hi - lo) for i in (3, 4))], ["doc_id", "n_ids", "ids_crc32", "payload", "tie", "shard"])
+
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    # Partitions are ranges of the order, so a partition's number is its shard's. Ranges are found before
+    # anything is coded, as that takes a pass over the rows.
+    ordered = ids.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    coded = ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(run, f"{_INDEX}, payload binary, tie long, shard int")
+    coded.write.mode("overwrite").option("compression", "none").parquet(f"{out}/documents")
     table = spark.createDataFrame([(int(i), int(f)) for i, f in enumerate(freq) if f] or [(end_id, 1 << SCALE)], "id int, freq int")
     table.coalesce(1).write.mode("overwrite").parquet(f"{out}/table")
     remove(spark, base)
@@ -244,7 +251,11 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = END_ID, shards
 
 
 def read_ids(spark: SparkSession, out: str) -> DataFrame:
-    """``(doc_id, start, n_ids, ids_crc32, ids)`` of the file set ``out``, ``start`` being the ids of all documents before."""
+    """``(doc_id, start, n_ids, ids_crc32, ids)`` of the file set ``out``, ``start`` being the ids of all documents before.
+
+    Null and repeated ``doc_id`` come back as they were written; an empty file set gives no rows, and a
+    payload that doesn't match its checksums raises.
+    """
     return _decoded(spark, out, True)
 
 
@@ -268,22 +279,22 @@ def _decoded(spark: SparkSession, out: str, with_ids: bool) -> DataFrame:
                 found = _crc32(ids, sizes)
                 if not np.array_equal(sizes, n[lo:hi]) or not found.equals(crc.slice(lo, hi - lo)):
                     raise ValueError("a payload and its index disagree")
-                cols = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sizes), found]
+                cols = [*(batch.column(i).slice(lo, hi - lo) for i in (0, 1, 5)), pa.array(sizes), found]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(ids)))
-                yield pa.RecordBatch.from_arrays(cols, ["shard", "doc_id", "n_ids", "ids_crc32", "ids"][: len(cols)])
+                yield pa.RecordBatch.from_arrays(cols, ["shard", "doc_id", "tie", "n_ids", "ids_crc32", "ids"][: len(cols)])
 
-    files = spark.read.schema(f"{_INDEX}, payload binary, shard int").parquet(f"{out}/documents")
+    files = spark.read.schema(f"{_INDEX}, payload binary, tie long, shard int").parquet(f"{out}/documents")
     # One number for each shard comes to the driver; rows of a shard are then summed within it.
     before, offsets = 0, []
     for r in sorted(files.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect(), key=lambda r: r["shard"]):
         offsets.append((r["shard"], before))
         before += r["n"]
     offset = spark.createDataFrame(offsets or [(0, 0)], "shard int, before long")
-    rows = files.select("shard", "doc_id", "n_ids", "ids_crc32", "payload").mapInArrow(run, f"shard int, {_INDEX}" + ", ids array<int>" * with_ids)
-    order = Window.partitionBy("shard").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    rows = files.select("shard", "doc_id", "n_ids", "ids_crc32", "payload", "tie").mapInArrow(run, "shard int, doc_id long, tie long, n_ids long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    order = Window.partitionBy("shard").orderBy("doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
-    return rows.join(F.broadcast(offset), "shard").withColumn("start", F.col("within") + F.col("before")).drop("shard", "within", "before")
+    return rows.join(F.broadcast(offset), "shard").withColumn("start", F.col("within") + F.col("before")).drop("shard", "within", "before", "tie")
 
 
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:

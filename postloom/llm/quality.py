@@ -201,8 +201,12 @@ def references(docs: DataFrame, labels: DataFrame) -> list[Reference]:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(key)), pa.array(np.r_[np.zeros(len(h), bool), np.ones(len(CLASSES), bool)]), pa.array(key), pa.array(np.r_[n, c.classes[mine].sum(0)])], ["lang", "class", "key", "n"])
 
     counts = map_batches(sample.select("text", "lang"), run, "lang string, class boolean, key long, n long").groupBy("lang", "class", "key").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("total", F.expr("sum(n) over (partition by lang, class)")).withColumn("rank", F.expr("row_number() over (partition by lang, class order by n desc, key)"))
-    rows = counts.where(F.col("class") | (F.col("rank") <= COMMON)).collect()
+    total = counts.groupBy("lang", "class").agg(F.sum("n").alias("total"))
+    top = counts
+    # The commonest words of each part of the vocabulary hold those of the language, and no task sees all its words.
+    for by in (f"lang, class, pmod(xxhash64(key), {PARTS})", "lang, class"):
+        top = top.withColumn("rank", F.expr(f"row_number() over (partition by {by} order by n desc, key)")).where(F.col("class") | (F.col("rank") <= COMMON)).drop("rank")
+    rows = top.join(total, ["lang", "class"]).collect()
     refs = []
     for lang in sorted({r["lang"] for r in rows}):
         classes = np.zeros(len(CLASSES))
