@@ -290,6 +290,59 @@ def test_marks_of_paragraphs_and_inner_articles():
     assert html_extraction.main_text(page) == "T\nHello there\nLead\nend"
 
 
+def test_odd_markup_loses_nothing():
+    text = html_extraction.main_text
+    body = "<article><h1>Title here</h1><p>one two three four</p></article>"
+    assert text(f"<html><head><meta charset=x><body>{body}") == "Title here\none two three four"
+    assert text(body.replace("<h1>", "<noscript><h1>")) == text(body.replace("<p>", "<select><p>")) == "Title here\none two three four"
+    assert text(body.replace("<h1>", "<head-line>x</head-line><h1>")) == "x\nTitle here\none two three four"
+    assert text(body.replace("<p>", "<script>var x = '<p>'")) == "Title here"
+    assert text(body.replace("<h1>Title here</h1>", '<div class="post-header"><h1>Title of the whole post</h1></div>').replace("one", "word " * 40 + "one")).startswith("Title of the whole post\nword")
+    long = "<p>" + "some words of a paragraph " * 8 + "</p>"
+    assert text(f'<article class="article-tags-form">{long}{long}</article>').count("\n") == 1
+    assert text(f'<div class="content">{long}<div class="entry-footer"><p><a href=x>tag one</a> <a href=y>tag two</a></p></div>{long}</div>').count("\n") == 1
+    assert text("<p>a") == "" and text("<button>" * 2000 + body) == text(body)
+
+
+#: Pages of layouts that the labelled table wasn't made from; blocks of the article are marked with a leading +.
+LAYOUTS = (
+    ("<body><div id=top><a href=1>Home</a> <a href=2>News</a></div><table><tr><td><a href=3>One</a><td>{0}<td><a href=4>Two</a></table>", ["+h", "+p40", "+p60", "+p30"]),
+    ("<body><header><h1>Site</h1></header><main><h1>{h}</h1>{0}<section class='related'><h2>More</h2><a href=1>other story</a></section></main><aside>x y z</aside>", ["+p25", "+p80", "+p15"]),
+    ("<body><div class='navbar'><a href=1>a</a></div><div class='story-header'><h1>{h}</h1></div><div class='story'>{0}</div><div class='comments'><p>{c}</p></div><div class='footer'>all rights</div>", ["+p50", "+p12", "+p70"]),
+    ("<body><p><a href=1>Start</a> | <a href=2>About us</a> | <a href=3>Contact</a><h1>{h}</h1>{0}<p><a href=4>Back to the list</a> <a href=5>Print</a>", ["+p45", "+p38", "+p90"]),
+    ("<body><ul><li><a href=1>x</a><li><a href=2>y</a></ul><div role=main>{0}<form><p>your mail here</p></form></div><div class='cookie-notice'><p>{c}</p></div>", ["+p20", "+p33", "+p41"]),
+)
+
+
+def test_held_out_layouts_have_their_article():
+    r = random.Random(31)
+    prose = lambda n: " ".join(r.choice(["der", "la", "word", "tion", "of", "que"]) for _ in range(n))
+    right = wrong = missed = 0
+    for _ in range(20):
+        for page, parts in LAYOUTS:
+            heading, blocks = prose(6).title(), [prose(int(x[2:] or 0) if x[2:] else 5) for x in parts]
+            inner = "".join(f"<p>{b}</p>" for b in blocks)
+            want = ([heading] if "{h}" in page else []) + blocks
+            got = html_extraction.main_text(page.format(inner, h=heading, c=prose(30))).split("\n")
+            right += len(set(got) & set(want))
+            wrong += len(set(got) - set(want))
+            missed += len(set(want) - set(got))
+    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
+
+
+def test_words_links_and_neighbours_decide_where_markup_does_not():
+    used = set()
+
+    def walk(t):
+        if t.split:
+            used.add(html_extraction.FEATURES[t.split[0]])
+            walk(t.low)
+            walk(t.high)
+
+    walk(html_extraction.train())
+    assert {"words", "links"} <= used and used & {"words_before", "links_before", "words_after", "links_after"}
+
+
 def test_pieces_round_trip_and_repeat(spark):
     rows = [*awkward(6), *((400 + k, "\n".join(twins(k)) + " " + " ".join(twins(k))) for k in (10, 11, 12)), (500, " ".join(["é" * 8_000] * 2)), (300, "▁ a▁b  \n\t 日本 ́😀"), (301, "x" * 5000)]
     docs = frame(spark, rows)
