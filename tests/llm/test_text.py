@@ -163,6 +163,54 @@ def test_the_field_finds_repetitions_in_other_forms(spark):
     assert set(got[1].base.split(",")) <= set(got[1].spans.split(","))
 
 
+def test_marginals_are_exact_on_trees_and_near_on_circles():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for edges, far in (([(0, 1), (1, 2), (1, 3)], 1e-3), ([(0, 1), (1, 2), (2, 3), (3, 0)], 0.05), ([], 1e-9)):
+        score, potential = rng.normal(size=(4, 3)), 0.5 * rng.normal(size=(len(edges), 3, 3))
+        exact = np.zeros((4, 3))
+        for x in itertools.product(range(3), repeat=4):
+            w = np.exp(sum(score[i, x[i]] for i in range(4)) + sum(potential[e, x[i], x[j]] for e, (i, j) in enumerate(edges)))
+            for i in range(4):
+                exact[i, x[i]] += w
+        got = pii.marginals(score, np.array(edges, np.int64).reshape(-1, 2), potential)
+        assert np.abs(got - exact / exact.sum(1, keepdims=True)).max() < far
+
+
+def test_evidence_reaches_far_mentions():
+    t = "mail jane.doe@mail.example.com " + "word jane.doe(at)mail.example.com " * 60
+    base = pii.base_spans(t)
+    assert len(base) == 1 and len(pii.added_spans([t], [base], pii.train())[0]) == 60
+
+
+def test_planted_repetitions_in_documents_are_found(spark):
+    r, planted, found, extra, plain = random.Random(41), 0, 0, 0, 0
+    texts = [x.text for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").orderBy("doc_id").collect()]
+    for t in texts:
+        base = pii.base_spans(t)
+        if not base:
+            continue
+        more = pii.added_spans([t], [base], pii.train())[0]
+        plain, extra = plain + 1, extra + len(more)
+        want, out = [], t
+        for a, k, b in base:
+            s = t[a:b]
+            form = s.partition("@")[0] + "(at)mail" if k == 0 else f"[{s}]" if k == 1 else re.sub("[^0-9]", "", s)[-7:] if k == 3 else re.sub("[^0-9]", "", s)
+            if k == 2 and form == s:
+                form = s[:8] + "/" + s[8:]
+            out += " " + r.choice(["la", "word", "der"]) + " "
+            want.append((len(out), len(out) + len(form)))
+            out += form
+        base = pii.base_spans(out)
+        got = base + pii.added_spans([out], [base], pii.train())[0]
+        planted += len(want)
+        found += sum(any(s < b and a < e for s, _, e in got) for a, b in want)
+    assert planted > 30 and found >= 0.8 * planted and extra <= 0.05 * plain, (planted, found, extra, plain)
+
+
 def test_held_out_accuracy_of_the_field():
     rng, model = random.Random(99), pii.train()
     right = total = 0
