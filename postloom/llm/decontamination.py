@@ -83,8 +83,11 @@ class Filter:
 
     def may_hold(self, h: Column) -> Column:
         """Whether the word of the hash ``h`` may be in the table."""
-        bits = _two_bits(h)
-        return F.element_at(self.longs, self._slot(h) + 1).bitwiseAND(bits) == bits
+        return F.bitwise_not(F.element_at(self.longs, self._slot(h) + 1)).bitwiseAND(_two_bits(h)) == 0
+
+    def places(self, words: Column) -> Column:
+        """Where in an array words stand that may be in the table, from zero; each word is hashed once."""
+        return F.array_compact(F.transform(F.transform(words, _hash), lambda h, i: F.when(self.may_hold(h), i)))
 
 
 def rarity(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -93,8 +96,9 @@ def rarity(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     Words are compared fully lower-cased, which may count one too often but never misses it.
     """
     known = Filter(vocabulary)
-    words = F.filter(_words(F.col("text")), lambda w: known.may_hold(_hash(w)))
-    counts = docs.select(F.explode(words).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    rows = docs.select(_words(F.col("text")).alias("w"))
+    words = F.transform(known.places(F.col("w")), lambda i: F.element_at("w", i + 1))
+    counts = rows.select(F.explode(words).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
     return counts.join(vocabulary, "word", "left_semi")
 
 
@@ -119,7 +123,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     joined = written(prefixes(windows, rarity(docs, vocabulary)), f"{base}/prefixes")
     prefix = Filter(joined.select("word").distinct())
     rows = docs.select("doc_id", F.xxhash64("text").alias("tk"), _words(F.col("text")).alias("w"))
-    rows = rows.select("doc_id", "tk", "w", F.size("w").alias("n_words"), F.array_compact(F.transform("w", lambda w, i: F.when(prefix.may_hold(_hash(w)), i))).alias("places"))
+    rows = rows.select("doc_id", "tk", "w", F.size("w").alias("n_words"), prefix.places(F.col("w")).alias("places"))
 
     def candidate(p: Column) -> Column:
         left = F.least(p, F.lit(WINDOW - 1))
