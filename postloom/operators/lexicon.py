@@ -52,6 +52,26 @@ def wrote_count(lines: Column) -> Column:
     return F.when(opening & (quote_level(line(1)) > 0), 1).when(opening & ends & (quote_level(line(2)) > 0), 2).otherwise(0)
 
 
+def past_attribution(lines: Column) -> Column:
+    """The lines from the first one that is quoted once, without those at its top that say who wrote what is quoted twice below them.
+
+    Empty lines are left out. One line is dropped if the next one is quoted twice; two are if the second ends like an
+    attribution or a cut and the third is quoted twice. Without a quoted line nothing is left.
+    """
+    full = F.filter(lines, lambda x: F.trim(F.translate(x, "\t", " ")) != "")
+
+    def cut(x: Column) -> Column:
+        levels = F.transform(x, quote_level)
+        at = F.array_position(levels, F.lit(1)).cast("int")
+        second = F.trim(F.coalesce(F.get(x, at), F.lit("")))
+        ends = second.rlike(r"(:|\.\.\.)$") | second.rlike(r"^(\[.*\]|<.*>)$")
+        level = lambda i: F.coalesce(F.get(levels, i), F.lit(0))
+        drop = F.when(level(at) == 2, 1).when(ends & (level(at + 1) == 2), 2).otherwise(0)
+        return F.when(at > 0, F.slice(x, F.greatest(at, F.lit(1)) + drop, F.greatest(F.size(x), F.lit(1)))).otherwise(F.slice(x, 1, 0))
+
+    return F.element_at(F.transform(F.array(full), cut), 1)
+
+
 def hits(messages: DataFrame, unicode: bool = False) -> DataFrame:
     """``(idx, type, word, pos)``: every index word, its position counted within its type over the message."""
     lines = F.concat(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import quote_level, same_subject, tokens, unquoted
 from ..work import kept
 from .graph import components
-from .lexicon import child_bucket, hit_rank
+from .lexicon import child_bucket, hit_rank, past_attribution
 from .threads import connectivity, roots
 
 #: Quoted lines of a root that are looked up, share of the best rank that counts, days around a parent.
@@ -16,10 +16,10 @@ LINES_MOST, SHARE, LATER, EARLIER = 16, 0.02, 365 * 86400, 30 * 86400
 
 
 def quoted_lines(messages: DataFrame, conn: DataFrame) -> DataFrame:
-    """``(idx, line, words)``: the first lines of each root that are quoted once."""
+    """``(idx, line, words)``: the first lines of each root that are quoted once, attributions of deeper quotations left out."""
     top = messages.join(conn.where("parent is null").select("idx"), "idx")
     lines = F.split(F.regexp_replace(F.coalesce("body", F.lit("")), r"^\n+", ""), "\n")
-    once = F.slice(F.filter(lines, lambda x: quote_level(x) == 1), 1, LINES_MOST)
+    once = F.slice(F.filter(past_attribution(lines), lambda x: quote_level(x) == 1), 1, LINES_MOST)
     return top.select("idx", F.posexplode(F.transform(once, lambda x: F.array_distinct(tokens(unquoted(x))))).alias("line", "words")).where(F.size("words") > 0)
 
 

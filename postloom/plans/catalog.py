@@ -88,9 +88,17 @@ def _conn(spark: S, d: str) -> DataFrame:
     return threads.connect(tables.conversations(spark, d))
 
 
+_INDEXES: dict[tuple, DataFrame] = {}
+
+
 def _index(spark: S, d: str) -> DataFrame:
-    """The index as the stored table that it is in an archive."""
-    return work.kept(lexicon.postings(tables.conversations(spark, d), _conn(spark, d)), "index")
+    """The index as the stored table that it is in an archive, sorted by word: a session builds that of unchanged messages once."""
+    key = (spark.sparkContext.applicationId, d, tuple(work.stamp(spark, x) for x in tables.read(spark, d, "conversations").inputFiles()))
+    if key in _INDEXES and all(work.stamp(spark, x) for x in _INDEXES[key].inputFiles()[:1]):
+        return _INDEXES[key]
+    rows = lexicon.postings(tables.conversations(spark, d), _conn(spark, d))
+    _INDEXES[key] = work.kept(rows.repartitionByRange(work.partitions(spark), "word", "idx").sortWithinPartitions("word", "idx"), "index")
+    return _INDEXES[key]
 
 
 # Set operations and filters.

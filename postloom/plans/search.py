@@ -72,8 +72,22 @@ def parse(query: str, flags: Flags, lowercase: bool = True) -> list[Term]:
     return out
 
 
-def query_words(index: DataFrame, terms: list[Term], flags: Flags, similar: DataFrame | None) -> tuple[DataFrame, int, int]:
-    """``(word, grp, must, cant, field, mod)`` of the index words that the terms stand for, their groups, and the terms without one.
+@dataclass(frozen=True)
+class QueryWords:
+    """``rows(word, grp, must, cant, field, mod)`` of the index words that a query's terms stand for, their groups, and the terms without one.
+
+    ``literal`` has the words themselves where all are known on the driver, and ``counts`` how many there are, must and cannot be there.
+    """
+
+    rows: DataFrame
+    groups: int
+    missing: int
+    literal: list[str] | None
+    counts: tuple[int, int, int]
+
+
+def query_words(index: DataFrame, terms: list[Term], flags: Flags, similar: DataFrame | None) -> QueryWords:
+    """The words that ``terms`` stand for in ``index``.
 
     A term makes a group if it brings a word that no earlier term has. Words of a query come to the driver, and of a
     prefix the first ``PREFIX_WORDS`` in order; one pass over the index finds those of all terms.
@@ -82,17 +96,20 @@ def query_words(index: DataFrame, terms: list[Term], flags: Flags, similar: Data
     rows: list[tuple] = []
     seen: set[str] = set()
     groups = 0
-    asked = spark.createDataFrame([(i, t.word, t.prefix) for i, t in enumerate(terms)], "term int, text string, prefix boolean")
-    named = F.when(F.col("prefix"), F.col("word").startswith(F.col("text"))).otherwise(F.col("word") == F.col("text"))
     wanted = reduce(lambda c, t: c | (F.col("word").startswith(t.word) if t.prefix else F.col("word") == t.word), terms, F.lit(False))
-    known = index.where(wanted).select("word").distinct().join(F.broadcast(asked), named)
-    first = known.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy("word"))).where(F.col("place") <= PREFIX_WORDS)
+    known = index.where(wanted).select("word").distinct()
     found: dict[int, list[str]] = {}
-    for r in first.select("term", "word").collect():
-        found.setdefault(r["term"], []).append(r["word"])
+    if any(t.prefix for t in terms):
+        asked = spark.createDataFrame([(i, t.word, t.prefix) for i, t in enumerate(terms)], "term int, text string, prefix boolean")
+        named = F.when(F.col("prefix"), F.col("word").startswith(F.col("text"))).otherwise(F.col("word") == F.col("text"))
+        first = known.join(F.broadcast(asked), named).withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy("word"))).where(F.col("place") <= PREFIX_WORDS)
+        for r in first.select("term", "word").collect():
+            found.setdefault(r["term"], []).append(r["word"])
+    elif terms:
+        there = {r["word"] for r in known.collect()}
+        found = {i: [t.word] for i, t in enumerate(terms) if t.word in there}
     for i, t in enumerate(terms):
-        words = sorted(found.get(i, []))
-        new = [w for w in words if w not in seen]
+        new = [w for w in sorted(found.get(i, [])) if w not in seen]
         if not new:
             continue
         rows += [(w, groups, t.must, t.cant, t.field, 1.0, t.strict) for w in new]
@@ -100,12 +117,14 @@ def query_words(index: DataFrame, terms: list[Term], flags: Flags, similar: Data
         groups += 1
     schema = "word string, grp int, must boolean, cant boolean, field string, mod double, strict boolean"
     words = spark.createDataFrame(rows, schema)
-    if flags.fuzzy and similar is not None and rows:
-        weight = F.element_at(F.array(*(F.lit(w) for w in FUZZY_WEIGHTS)), F.col("dist"))
-        near = similar.join(words.where("not strict"), "word").select(F.col("similar").alias("word"), "grp", "must", "cant", "field", weight.alias("mod"), "strict")
-        near = near.join(words.select("word"), "word", "left_anti").groupBy("word").agg(F.min(F.struct("grp", "must", "cant", "field", "mod", "strict")).alias("x")).select("word", "x.*")
-        words = words.unionByName(near)
-    return words.drop("strict"), groups, len(terms) - groups
+    if not (flags.fuzzy and similar is not None and rows):
+        return QueryWords(words.drop("strict"), groups, len(terms) - groups, [r[0] for r in rows], (len(rows), sum(r[2] for r in rows), sum(r[3] for r in rows)))
+    weight = F.element_at(F.array(*(F.lit(w) for w in FUZZY_WEIGHTS)), F.col("dist"))
+    near = similar.join(words.where("not strict"), "word").select(F.col("similar").alias("word"), "grp", "must", "cant", "field", weight.alias("mod"), "strict")
+    near = near.join(words.select("word"), "word", "left_anti").groupBy("word").agg(F.min(F.struct("grp", "must", "cant", "field", "mod", "strict")).alias("x")).select("word", "x.*")
+    words = kept(words.unionByName(near), "query-words")
+    n = words.agg(F.count("*").alias("n"), F.count_if("must").alias("must"), F.count_if("cant").alias("cant")).first()
+    return QueryWords(words.drop("strict"), groups, len(terms) - groups, None, (n["n"], n["must"], n["cant"]))
 
 
 def _word_score(simple: bool) -> Column:
@@ -137,13 +156,15 @@ def search(index: DataFrame, query: str, flags: Flags | None = None, similar: Da
     """
     flags = (flags or Flags()).settled(similar is not None)
     terms = parse(query, flags, lowercase)
-    words, groups, missing = query_words(index, terms, flags, similar)
+    asked = query_words(index, terms, flags, similar)
+    words, groups, missing = asked.rows, asked.groups, asked.missing
     field = F.lit(only) if only else F.col("field")
     kind = F.element_at(F.create_map(*(F.lit(x) for i, t in enumerate(HIT_TYPES) for x in (t, i))), field)
-    rows = index.join(words, "word")
+    # Literal words reach the scan: of a stored index, which is sorted by word, only their row groups are read.
+    rows = (index if asked.literal is None else index.where(F.col("word").isin(asked.literal))).join(words, "word")
     rows = rows.where(field.isNull() | F.exists("hits", lambda h: h["type"] == kind))
     rows = rows.withColumn("score", _word_score(flags.simple))
-    whole = groups and words.select("word").limit(2).count()
+    whole, n_must, n_cant = asked.counts
     if not whole:
         return rows.select("idx", F.col("score").alias("rank"), F.array().cast("array<struct<type:int,pos:int,word:string>>").alias("hits")).where(F.lit(False))
     # A term that has no word leaves nothing where all are required.
@@ -156,14 +177,13 @@ def search(index: DataFrame, query: str, flags: Flags | None = None, similar: Da
 
     entry = F.struct("grp", "word", "score", "mod", "must", "cant", "hits")
     found = rows.groupBy("idx").agg(F.array_sort(F.collect_list(entry)).alias("w"), F.min("child_bucket").alias("child_bucket"))
-    n_words = kept(words.agg(F.count("*").alias("n"), F.count_if("must").alias("must"), F.count_if("cant").alias("cant")), "query-words").first()
     if flags.require_all:
-        found = found.where(F.size("w") == n_words["n"])
+        found = found.where(F.size("w") == whole)
     elif flags.set_logic:
         found = found.where(~F.exists("w", lambda x: x["cant"]))
-        if n_words["must"]:
-            found = found.where(F.size(F.filter("w", lambda x: x["must"])) == n_words["must"])
-        elif n_words["cant"] == n_words["n"]:
+        if n_must:
+            found = found.where(F.size(F.filter("w", lambda x: x["must"])) == n_must)
+        elif n_cant == whole:
             found = found.where(F.lit(False))
     mod = (lambda x: F.lit(1.0)) if flags.require_all else (lambda x: x["mod"])
     rank = F.aggregate("w", F.lit(0.0), lambda s, x: s + x["score"] * mod(x))

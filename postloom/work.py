@@ -44,3 +44,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[str, int, int] | None:
+    """Name, size and time of a file, by which a change shows; none if it is gone."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return None
+    status = system.getFileStatus(at)
+    return path, status.getLen(), status.getModificationTime()

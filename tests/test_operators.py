@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -154,6 +155,68 @@ def test_lost_threads_are_found(spark):
     assert changed and {r.idx: r.parent for r in got.collect()} == {0: None, 1: 0, 2: None, 3: 2}
 
 
+def test_repair_goes_on_until_nothing_is_found(spark):
+    bodies = ["green trains depart early tomorrow morning"]
+    for k in range(1, 12):
+        bodies.append(f"> {bodies[-1].splitlines()[-1]}\nsubject{k} matter{k} comes{k} along{k} here{k}")
+    m = messages(spark, bodies, {}, {k: 100 * k for k in range(12)})
+    conn = threads.connect(m)
+    got, changed = repair.repair(m, conn, lexicon.postings(m, conn))
+    assert changed and {r.idx: r.parent for r in got.collect()} == {0: None, **{k: k - 1 for k in range(1, 12)}}
+
+
+def test_attributions_inside_quotations(spark):
+    cases = [
+        (["hi", "> Ann wrote:", "> > deep", "> said", "x"], ["> > deep", "> said", "x"]),
+        (["> On Monday", "", "> Ann wrote:", "> > deep", "> said"], ["> > deep", "> said"]),
+        (["> said", "> more"], ["> said", "> more"]),
+        (["no quotation", "at all"], []),
+        ([], []),
+        (["> On Monday", "[cut]", ">> deep"], [">> deep"]),
+    ]
+    df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, lines array<string>")
+    got = {r.i: r.got for r in df.select("i", lexicon.past_attribution(F.col("lines")).alias("got")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_checks_find_what_is_wrong(spark):
+    conn = spark.createDataFrame([(0, None, 3), (1, 0, 1), (2, 3, 2), (3, 2, 2)], "idx long, parent long, child_total long").withColumn("epoch", F.col("idx"))
+    m = spark.createDataFrame([(0, "a@b"), (1, "a@b"), (2, "c@d"), (3, "e@f")], "idx long, msgid string")
+    got = {r["check"]: r.n_wrong for r in verify.report(m, conn, False).collect()}
+    assert got == {"reachable": 2, "lookup": 1, "order": 0, "totals": 1, "unique": 1, "similar_words": 1}
+
+
+def test_weights_of_classifiers_move(spark):
+    own = dict.fromkeys(spam.CLASSIFIERS, 1.0)
+    spam._reweighed(own, {c: 0.9 if c != "nb" else 0.1 for c in spam.CLASSIFIERS}, True)
+    assert own["nb"] == 1 - spam.WEIGHT_STEP and sum(w != 1 for w in own.values()) == 1
+    spam._reweighed(own, {c: 0.1 if c != "nb" else 0.9 for c in spam.CLASSIFIERS}, True)
+    assert own["nb"] == 1.0
+    df = spark.createDataFrame([(i, ("buy cheap pills now " if i % 2 else "meeting notes about trains ") + str(i), bool(i % 2)) for i in range(30)], "idx long, body string, spam boolean")
+    model, weights = spam.train(df)
+    assert set(weights) == set(spam.CLASSIFIERS) and model.where("length(feature) > 4").count() == 0
+    empty_model, plain = spam.train(df.where("false"))
+    assert empty_model.count() == 0 and set(plain.values()) == {1.0}
+
+
+def test_charsets_are_told_by_weighed_letters():
+    from postloom.operators import mime
+
+    assert mime.guess("zażółć gęślą jaźń".encode("cp1250")) == mime.guess("zażółć gęślą jaźń".encode("iso8859-2")) == "zażółć gęślą jaźń"
+    # One frequent letter outweighs two rare ones.
+    assert mime.guess(bytes([0x20, 0xB9])) == " ą" and mime.guess(bytes([0x20, 0xB1])) == " ą"
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    import types
+
+    from postloom import work
+
+    fake = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d=None: None), sparkContext=types.SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        work.shared_dir(fake)
+
+
 def test_charts(spark):
     x = spark.createDataFrame([("srv a.b:7 c:9",), ("srv a.b:12",), ("two a.b:3",), (None,), ("bad",)], "xref string")
     assert sorted(tuple(r) for r in charts.xref(x, "a.b").collect()) == [("srv", 12), ("two", 3)]
@@ -172,6 +235,12 @@ def test_mailboxes(spark, tmp_path):
     (folder / "1").write_bytes(b"a\r\nb")
     (folder / ".no").write_bytes(b"x")
     assert [bytes(r.content) for r in mail.maildir(spark, str(tmp_path / "dir")).collect()] == [b"a\nb"]
+    # A folder named like an earlier one, below a hidden one.
+    deep = tmp_path / ".hidden" / "dir" / "more" / "dir"
+    deep.mkdir(parents=True)
+    (deep / "2").write_bytes(b"c")
+    (deep / ".no").write_bytes(b"x")
+    assert [bytes(r.content) for r in mail.maildir(spark, f"file://{deep}").collect()] == [b"c"]
     import zipfile
 
     with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
@@ -224,7 +293,7 @@ def test_similar_words_of_the_whole_vocabulary(spark, tmp_path):
 
     said = [(c, 0, "user", "alpha then gamma") for c in range(2)] + [(2 + c, 0, "user", "alphb them delta") for c in range(2)]
     folder = stored(tmp_path, "conversations", said, "conv_id long, turn long, role string, text string", spark)
-    got = {tuple(r) for r in catalog.QUERIES["lexdist_all"](spark, folder).collect()}
+    got = {tuple(r) for r in catalog.QUERIES["lexdist"](spark, folder).collect()}
     assert got == {("alpha", "alphb", 1), ("alphb", "alpha", 1), ("then", "them", 1), ("them", "then", 1)}
 
 
@@ -237,9 +306,9 @@ def test_set_operations_on_all_sources(spark, tmp_path):
     docs = [(1, "a", "en", "src1", 1), (2, "b", "en", "src4", 1), (3, "a", "en", "src8", 1), (4, "c", "en", "src15", 1), (5, "d", "en", None, 1), (6, "b", "en", "src17", 1)]
     folder = stored(tmp_path, "documents", docs, DOCUMENTS, spark)
     run = lambda name: sorted(r.idx for r in catalog.QUERIES[name](spark, folder).collect())
-    assert run("merge_raw_all") == [2, 3, 4, 5] == run("update_append_all")
-    assert run("rel_complement_all") == [4, 5]
-    assert run("update_overwrite_all") == [1, 4, 5, 6]
+    assert run("merge_raw") == [2, 3, 4, 5] == run("update_append")
+    assert run("rel_complement") == [4, 5]
+    assert run("update_overwrite") == [1, 4, 5, 6]
 
 
 def test_whole_texts_are_turned_and_cut(spark, tmp_path):
@@ -251,7 +320,7 @@ def test_whole_texts_are_turned_and_cut(spark, tmp_path):
     long = "Some words " * 40
     folder = stored(tmp_path, "documents", [(1, long + "End", "en", "s", 1), (2, long + "Fin", "en", "s", 1)], DOCUMENTS, spark)
     digest = lambda s: hashlib.md5(s.encode()).hexdigest()
-    got = {r.idx: r.turned for r in catalog.QUERIES["rot13_all"](spark, folder).collect()}
+    got = {r.idx: r.turned for r in catalog.QUERIES["rot13"](spark, folder).collect()}
     assert got == {1: digest(codecs.encode(long + "End", "rot13")), 2: digest(codecs.encode(long + "Fin", "rot13"))}
-    got = {r.idx: r.subject for r in catalog.QUERIES["subject_kill_all"](spark, folder).collect()}
+    got = {r.idx: r.subject for r in catalog.QUERIES["subject_kill"](spark, folder).collect()}
     assert got == {1: digest(long + "End"), 2: digest(long + "Fin")}
