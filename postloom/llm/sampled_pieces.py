@@ -13,7 +13,8 @@ proportion to its product of weights. Draws are a hash of seed, row key, chunk a
 step, so a row's segmentation depends on nothing but its key and text.
 
 No piece has a word mark after another character, so a text falls into chunks that
-are sampled independently: the filter runs once for each distinct chunk.
+are sampled independently: the filter runs once for each distinct chunk. So does a long
+chunk at places that no edge passes over, where the lattice is two lattices.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from .shared import map_batches, read
 
 SHARPNESS, SEED = 1.0, 20240
 _SLICE = 1 << 19
+_LONG = 64
 _MARK = "▁"
 U = np.uint64
 _BITS = 18
@@ -118,6 +120,18 @@ class Lattice:
         piece.append(self.byte_id[data[rest]])
         return np.concatenate(src), np.concatenate(dst), np.concatenate(piece)
 
+    def _apart(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places in the chunks ``[begin, end)`` of ``data`` that no edge of the lattice passes over, at the start of a character."""
+        sizes = end - begin
+        edge = np.r_[0, np.cumsum(sizes)]
+        at = np.repeat(begin - edge[:-1], sizes) + np.arange(edge[-1])
+        flat = data[at]
+        src, dst, _ = self._edges(flat, edge)
+        step = np.zeros(len(flat) + 2, np.int64)
+        np.add.at(step, src + 1, 1)
+        np.subtract.at(step, dst, 1)
+        return at[(np.cumsum(step)[: len(flat)] == 0) & ((flat & 0xC0) != 0x80)]
+
     def filter(self, data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, ...]:
         """Forward filter of the chunks: per node its rank and first edge, and per edge the rising choice key, start and piece.
 
@@ -168,6 +182,12 @@ class Lattice:
         start[1:-1] |= control[1:] | control[:-1]
         begin = np.flatnonzero(start[:-1])
         end = np.r_[begin[1:], len(data)]
+        # Long chunks, as of languages without spaces, fall apart where no piece reaches across.
+        far = np.flatnonzero(end - begin > _LONG)
+        if len(far):
+            start[self._apart(data, begin[far], end[far])] = True
+            begin = np.flatnonzero(start[:-1])
+            end = np.r_[begin[1:], len(data)]
         row = np.searchsorted(offs, begin, side="right") - 1
         kind, example = blocks.numbered(data, begin, end)
         sizes = (end - begin)[example]

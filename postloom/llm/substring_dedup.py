@@ -222,12 +222,13 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([flat.field(0).take(pa.array(at)), flat.field(1).take(pa.array(at)), pa.array(n[at]), pa.array(place.astype(np.int32)), w.digests(lead, lead + WINDOW)], names)
 
 
-def repeats(docs: DataFrame, log: FingerprintLog) -> DataFrame:
+def repeats(docs: DataFrame, log: FingerprintLog, base: str | None = None) -> DataFrame:
     """``(id, tk, marks)`` of the rows with repeated windows: ``marks`` lists the first window of a stretch and a bit for each repeated one.
 
-    ``log`` holds all rows of ``docs``; tables between the steps stand in a folder of their own.
+    ``log`` holds all rows of ``docs``; tables between the steps stand in the folder ``base``, which the result still reads.
     """
-    spark, base = docs.sparkSession, workspace(docs.sparkSession, "repeats")
+    spark = docs.sparkSession
+    base = base or workspace(spark, "repeats")
     rows = keyed(docs)
     hits = written(log.hits(), f"{base}/hits")
     release(spark)
@@ -279,7 +280,9 @@ def remove_repeats(docs: DataFrame, batches: list[Column] | None = None) -> Data
     rows, log = keyed(docs), FingerprintLog(docs.sparkSession)
     for condition in batches or [F.lit(True)]:
         log.append(rows.where(condition))
-    found = written(repeats(docs, log), workspace(docs.sparkSession, "marks"))
+    steps = workspace(docs.sparkSession, "repeats")
+    found = written(repeats(docs, log, steps), workspace(docs.sparkSession, "marks"))
+    remove(docs.sparkSession, steps)
     log.drop()
     release(docs.sparkSession)
     return without(docs, found)

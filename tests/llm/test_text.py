@@ -5,7 +5,7 @@ import re
 import public_tokenizers
 import pytest
 
-from postloom.llm import decontamination, html_extraction, pii, quality, sampled_pieces, secrets
+from postloom.llm import decontamination, html_extraction, pii, quality, sampled_pieces, secrets, token_counts
 
 from .helpers import awkward, frame, twins, words
 
@@ -378,6 +378,22 @@ def test_held_out_layouts_have_their_article():
     assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
 
 
+def test_empty_tables_of_texts_and_pages(spark):
+    docs = frame(spark, [])
+    assert pii.find(docs).count() == sampled_pieces.encode(docs, PIECES).count() == quality.assess(docs, []).count() == token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+    assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert quality.references(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")) == []
+
+
+def test_very_long_texts(spark):
+    long = "der la word 12 of jane@x.example.com " * 30_000
+    rows = [(1, long), (2, "short"), (1, long)]
+    assert {r.doc_id: r.n_email for r in pii.find(frame(spark, rows)).collect()} == {1: 30_000, 2: 0}
+    assert {r.doc_id: r.n_words for r in quality.assess(frame(spark, rows), []).collect()} == {1: 180_000, 2: 1}
+    page = "<article>" + "<p>some words here</p>" * 20_000 + "</article>"
+    assert html_extraction.main_text(page).count("\n") == 19_999
+
+
 def test_words_links_and_neighbours_decide_where_markup_does_not():
     used = set()
 
@@ -403,6 +419,31 @@ def test_pieces_round_trip_and_repeat(spark):
     assert {r.doc_id: r.text for r in back.collect()} == {300: rows[-2][1], 301: rows[-1][1]}
 
 
+def test_long_chunks_fall_apart_where_no_piece_reaches_across():
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    from postloom.llm import blocks
+
+    model = sampled_pieces.lattice(PIECES)
+    r = random.Random(19)
+    texts = ["".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(60_000)), "日本語のテキスト" * 300 + "abcde" * 40]
+    began = time.time()
+    raw, offs = blocks.texts(pa.array(texts))
+    ids, sizes = model.encode(raw, offs, np.arange(2))
+    back, at = model.decode(ids, sizes)
+    assert bytes(back) == "".join(texts).encode() and at.tolist() == offs.tolist()
+    assert time.time() - began < 20
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        src, dst, _ = model._edges(data, np.array([0, len(data)]))
+        cuts = model._apart(data, np.array([0]), np.array([len(data)]))
+        over = np.searchsorted(cuts, dst, side="left") - np.searchsorted(cuts, src, side="right")
+        assert (over <= 0).all() and cuts[0] == 0
+
+
 def test_segmentations_have_their_share():
     import math
     from collections import Counter
