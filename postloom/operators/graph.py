@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..work import kept, partitions
+from ..work import forget, kept, kept_at, partitions
 
 
 def ascend(links: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -59,10 +59,12 @@ def break_loops(links: DataFrame) -> DataFrame:
         return links.select("idx", "parent")
     ring = kept(stuck.select(F.col("up").alias("idx")).distinct().join(links.select("idx", "parent"), "idx"), "ring")
     # The least node of each ring, by doubling along the ring.
-    low = ring.select("idx", F.col("parent").alias("jump"), F.least("idx", "parent").alias("low"))
+    low, path = kept_at(ring.select("idx", F.col("parent").alias("jump"), F.least("idx", "parent").alias("low")), "ring-low")
     for _ in range(max(1, ring.count().bit_length())):
         ahead = low.select(F.col("idx").alias("jump"), F.col("jump").alias("jump2"), F.col("low").alias("low2"))
-        low = kept(low.join(ahead, "jump").select("idx", F.col("jump2").alias("jump"), F.least("low", "low2").alias("low")), "ring-low")
+        old = path
+        low, path = kept_at(low.join(ahead, "jump").select("idx", F.col("jump2").alias("jump"), F.least("low", "low2").alias("low")), "ring-low")
+        forget(links.sparkSession, old)
     # Where each stuck node enters its ring: its root once ring nodes count as roots.
     inner = stuck.select("idx").join(links.select("idx", "parent"), "idx").join(ring.select("idx", F.lit(True).alias("on")), "idx", "left")
     entry = ascend(inner.select("idx", F.when(F.col("on").isNull(), F.col("parent")).alias("parent"))).select("idx", F.col("root").alias("entry"))
@@ -81,7 +83,7 @@ def _least(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links(u, v)``, ``root`` being the least node of its component."""
     now = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, last = kept(now, "components"), None
+    (now, path), last = kept_at(now, "components"), None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == last or not mark[0]:
@@ -91,7 +93,9 @@ def components(links: DataFrame) -> DataFrame:
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         near = _least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = kept(small, "components")
+        old = path
+        now, path = kept_at(small, "components")
+        forget(links.sparkSession, old)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -39,7 +39,19 @@ def overwritten(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a new table in the shared folder."""
-    return overwritten(df, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    return kept_at(df, name)[0]
+
+
+def kept_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``kept``, with the table's place, for tables that a later one replaces."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    return overwritten(df, path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more, through Spark's own file system layer."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
