@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import asctime
-from ..operators import charts, fuzzy, headers, lexicon, mime, setops, threads, verify
+from ..operators import charts, fuzzy, headers, lexicon, mime, render, setops, threads, verify
 from . import search as search_plan
 
 VERSION = 1
@@ -33,7 +35,7 @@ def build(raw: DataFrame, path: str, group: str | None = None, codec: str = "zst
     links = conn.join(order, "idx").select(F.col("new_idx").alias("idx"), "parent", "epoch").join(order.select(F.col("idx").alias("parent"), F.col("new_idx").alias("new_parent")), "parent", "left")
     write(threads.connectivity(links.select("idx", F.col("new_parent").alias("parent"), "epoch")), "conn")
     messages, conn = spark.read.parquet(f"{path}/messages"), spark.read.parquet(f"{path}/conn")
-    write(lexicon.postings(messages, conn, unicode=True).repartition("word").sortWithinPartitions("word", "idx"), "index")
+    write(lexicon.postings(messages, conn, unicode=True).repartitionByRange("word", "idx").sortWithinPartitions("word", "idx"), "index")
     write(fuzzy.similar_words(lexicon.vocabulary(spark.read.parquet(f"{path}/index"))), "similar")
     manifest = json.dumps({"version": VERSION, "name": name, "desc_short": desc_short, "desc_long": desc_long})
     spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
@@ -46,6 +48,47 @@ def repack(spark: SparkSession, path: str, out: str, codec: str) -> None:
     spark.read.text(f"{path}/manifest").write.mode("overwrite").text(f"{out}/manifest")
 
 
+def repack_shared(spark: SparkSession, path: str, out: str, level: int = 16, sample_bytes: int = 8 << 20, dictionary_bytes: int = 128 << 10) -> None:
+    """Message bodies of an archive, each compressed by itself with one dictionary that all share, so that any one can be read alone.
+
+    The dictionary is trained on bodies of at most about ``sample_bytes``, those of the least hashes; what is too little
+    to train on is packed without one.
+    """
+    import zstandard
+
+    bodies = spark.read.parquet(f"{path}/messages").select("idx", "msgid", F.encode(F.coalesce("body", F.lit("")), "UTF-8").alias("content"))
+    mean = bodies.agg(F.avg(F.octet_length("content"))).first()[0] or 1.0
+    sample = [bytes(r[0]) for r in bodies.orderBy(*setops.by_hash(0)).limit(max(1, int(sample_bytes / max(mean, 1.0)))).select("content").collect()]
+    try:
+        dictionary = zstandard.train_dictionary(dictionary_bytes, sample).as_bytes()
+    except zstandard.ZstdError:
+        dictionary = b""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        packer = zstandard.ZstdCompressor(level=level, dict_data=shared)
+        for b in batches:
+            yield b.assign(content=[packer.compress(bytes(c)) for c in b["content"]])
+
+    bodies.mapInPandas(run, "idx long, msgid string, content binary").write.mode("overwrite").option("compression", "none").parquet(f"{out}/bodies")
+    spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.mode("overwrite").parquet(f"{out}/dictionary")
+
+
+def read_shared(spark: SparkSession, out: str) -> DataFrame:
+    """``(idx, msgid, body)`` of what ``repack_shared`` wrote."""
+    import zstandard
+
+    dictionary = bytes(spark.read.parquet(f"{out}/dictionary").first()[0])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        opener = zstandard.ZstdDecompressor(dict_data=shared)
+        for b in batches:
+            yield pd.DataFrame({"idx": b["idx"], "msgid": b["msgid"], "body": [opener.decompress(bytes(c)).decode() for c in b["content"]]})
+
+    return spark.read.parquet(f"{out}/bodies").mapInPandas(run, "idx long, msgid string, body string")
+
+
 @dataclass
 class Archive:
     spark: SparkSession
@@ -131,3 +174,12 @@ def open_galaxy(spark: SparkSession, base: str, paths: list[str]) -> tuple[dict[
             found[i] = archive
         rows.append((i, p, archive.meta["name"] if archive else None, archive is not None))
     return found, spark.createDataFrame(rows, "archive_id int, path string, name string, available boolean")
+
+
+def web_view(found: dict[int, Archive], msgid: str) -> tuple[int, str]:
+    """The page of an id from the first archive that has it, with status 200, or 404 and nothing."""
+    for _, archive in sorted(found.items()):
+        page = render.html(archive.view(msgid)).first()
+        if page is not None:
+            return 200, page["html"]
+    return 404, ""

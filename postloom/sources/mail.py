@@ -107,6 +107,12 @@ def packed(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(files.mapInPandas(run, RAW), "source")
 
 
-def export(messages: DataFrame, path: str, per_file: int = 10_000) -> None:
-    """Message texts as partitioned text tables with their ids; one file per message is what an object store is worst at."""
-    messages.select("msgid", "raw").write.option("maxRecordsPerFile", per_file).mode("overwrite").json(path)
+def export(messages: DataFrame, path: str, per_file: int = 10_000, per_message: bool = False) -> None:
+    """Message texts with their ids, ``per_file`` to a file; or, where other tools need it, each text in a file of its own below ``idx=``.
+
+    A file a message is what an object store is worst at, so it is no default.
+    """
+    if per_message:
+        messages.select("idx", F.col("raw").alias("value")).write.mode("overwrite").partitionBy("idx").text(path)
+    else:
+        messages.select("msgid", "raw").write.option("maxRecordsPerFile", per_file).mode("overwrite").json(path)

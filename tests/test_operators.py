@@ -270,6 +270,11 @@ def test_archives_from_raw_to_queries(spark, tmp_path):
     archive.repack(spark, path, f"file://{tmp_path}/b", "lz4")
     found, table = archive.open_galaxy(spark, f"file://{tmp_path}", ["b", "gone"])
     assert list(found) == [0] and [r.available for r in table.orderBy("archive_id").collect()] == [True, False]
+    assert archive.web_view(found, "5@h")[0] == 200 and "common words" in archive.web_view(found, "5@h")[1] and archive.web_view(found, "no@h") == (404, "")
+    archive.repack_shared(spark, path, f"file://{tmp_path}/packed")
+    assert {r.msgid: r.body for r in archive.read_shared(spark, f"file://{tmp_path}/packed").collect()} == {r.msgid: r.body for r in a.messages.collect()}
+    mail.export(a.messages.select("idx", "msgid", F.col("body").alias("raw")), f"{tmp_path}/each", per_message=True)
+    assert len(list((tmp_path / "each").glob("idx=*/*.txt"))) == 9
     broken = a.conn.withColumn("child_total", F.lit(7).cast("long"))
     assert verify.wrong_totals(broken).count() > 0
 
