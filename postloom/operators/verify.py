@@ -15,9 +15,10 @@ def reached(conn: DataFrame) -> DataFrame:
     return ascend(conn.select("idx", "parent"), max(1, conn.count().bit_length())).where("up is null").select("idx")
 
 
-def unreachable(conn: DataFrame) -> DataFrame:
-    """V1: messages that no root leads to, or that are there more than once."""
-    return conn.groupBy("idx").agg(F.count("*").alias("n")).join(reached(conn).withColumn("ok", F.lit(1)), "idx", "left").where("ok is null or n > 1").select("idx").distinct()
+def unreachable(conn: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """V1: messages that no root leads to, or that are there more than once; ``known`` is what ``reached`` found, if it is at hand."""
+    known = reached(conn) if known is None else known
+    return conn.groupBy("idx").agg(F.count("*").alias("n")).join(known.distinct().withColumn("ok", F.lit(1)), "idx", "left").where("ok is null or n > 1").select("idx").distinct()
 
 
 def wrong_lookups(messages: DataFrame) -> DataFrame:
@@ -55,8 +56,9 @@ def report(messages: DataFrame, conn: DataFrame, has_similar: bool) -> DataFrame
     """``(check, n_wrong)`` of all checks on one archive; V6 says whether the table of similar words is there."""
     spark = messages.sparkSession
     # Order and totals are those of trees: what no root leads to is counted once, as such.
-    sound = kept(conn.join(reached(conn).distinct(), "idx", "left_semi"), "reached")
-    parts = {"reachable": unreachable(conn), "lookup": wrong_lookups(messages), "order": out_of_order(sound), "totals": wrong_totals(sound), "unique": duplicate_ids(messages)}
+    known = kept(reached(conn).distinct(), "reached")
+    sound = kept(conn.join(known, "idx", "left_semi"), "sound")
+    parts = {"reachable": unreachable(conn, known), "lookup": wrong_lookups(messages), "order": out_of_order(sound), "totals": wrong_totals(sound), "unique": duplicate_ids(messages)}
     out = spark.createDataFrame([("similar_words", 0 if has_similar else 1)], "check string, n_wrong long")
     for name, wrong in parts.items():
         out = out.union(wrong.agg(F.count("*").alias("n_wrong")).select(F.lit(name).alias("check"), "n_wrong"))
