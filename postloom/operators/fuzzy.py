@@ -1,52 +1,174 @@
-"""Similar words by bounded edit distance, without comparing all pairs.
+"""Similar words by bounded edit distance, with the most frequent partners first.
 
-Words within ``k`` edits share a string that both become by at most ``k``
-deletions, so each word is listed under its deletion variants and words meet by
-equality. Lists are per length band, so short words, which have small bounds,
-don't meet long ones. Every meeting is verified with the bounded distance.
+Only partners at least a fifth as frequent as a word's most frequent one count. So
+each word walks down the vocabulary by frequency and stops where that share of the
+first partner found ends; most of the vocabulary is never looked at. On the way,
+signatures of letter counts tell what can be near at all, and a banded distance
+over arrays decides. No pair, variant or segment is ever shuffled: tasks share the
+vocabulary, about twenty bytes a word, and each takes words of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..work import kept, partitions
+
+#: Shares of a word's own frequency and of its most frequent partner's, below which a partner is left out.
+OWN_SHARE, BEST_SHARE = 10, 5
+#: Words that walk together, places of the first step and of the longest one, and pairs measured at once.
+_TOGETHER, _STEP, _STEP_MOST, _PAIRS = 512, 256, 2048, 1 << 16
+_PAIRS_SCHEMA = "word string, similar string, dist int"
+#: The last vocabulary that this process has laid out.
+_LAID: dict[str, _Vocabulary] = {}
+
 
-def most_edits(length: Column) -> Column:
-    return F.when(length <= 5, 1).when(length <= 10, 2).otherwise(3)
+def most_edits(length: int) -> int:
+    return 1 if length <= 5 else 2 if length <= 10 else 3
 
 
-def _without_one(s: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words, a column each and zero beyond their ends, and their lengths."""
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.zeros((len(words), max(int(n.max(initial=0)), 1)), np.uint32)
+    points[np.arange(points.shape[1]) < n[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.ascontiguousarray(points.T), n
 
 
-def variants(word: Column, edits: int) -> Column:
-    """The word and everything that up to ``edits`` deletions make of it."""
-    out = F.array(word)
-    for _ in range(edits):
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, _without_one))))
+def _signatures(points: np.ndarray) -> np.ndarray:
+    """Two bits for each of 32 classes of letters: whether a word has one of it, and whether it has two.
+
+    An added or lost letter turns one bit at most and another letter in its place two, so ``k`` edits between words
+    whose lengths differ by ``d`` turn ``2 k - d`` at most.
+    """
+    one, two = np.zeros((2, points.shape[1]), np.uint32)
+    for row in points:
+        bit = np.where(row > 0, np.left_shift(np.uint32(1), row & np.uint32(31)), 0).astype(np.uint32)
+        two |= one & bit
+        one |= bit
+    return one.astype(np.uint64) << np.uint64(32) | two
+
+
+def _distances(a: np.ndarray, b: np.ndarray, length: int, lengths: np.ndarray, most: int) -> np.ndarray:
+    """Edit distances of pairs of columns, those of ``a`` of one ``length``; what is beyond ``most`` is ``most + 1``."""
+    far = np.full(len(lengths), most + 1, np.int8)
+    out = far.copy()
+    row = {j: np.full(len(lengths), j, np.int8) for j in range(most + 1)}
+    for i in range(1, length + 1):
+        now: dict[int, np.ndarray] = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            if not j:
+                now[0] = np.full(len(lengths), i, np.int8)
+                continue
+            best = row.get(j - 1, far) + (a[i - 1] != b[j - 1])
+            if j in row:
+                np.minimum(best, row[j] + np.int8(1), out=best)
+            if j - 1 in now:
+                np.minimum(best, now[j - 1] + np.int8(1), out=best)
+            now[j] = np.minimum(best, far)
+        row = now
+    for j, d in row.items():
+        np.copyto(out, d, where=lengths == j)
     return out
 
 
+class _Vocabulary:
+    """Words in falling order of frequency, and for each length what a word of it may be near to."""
+
+    def __init__(self, packed: bytes, df: np.ndarray):
+        self.words = np.array(packed.decode("utf-8").split("\n") if len(df) else [], object)
+        self.df = df
+        self.points, self.n = _letters(list(self.words))
+        self.signatures = _signatures(self.points)
+        self.bands: dict[int, tuple] = {}
+
+    def band(self, length: int) -> tuple:
+        if length not in self.bands:
+            at = np.flatnonzero(np.abs(self.n - length) <= most_edits(length))
+            self.bands[length] = at, self.df[at], self.n[at], self.signatures[at], np.abs(self.n[at] - length).astype(np.uint8), np.ascontiguousarray(self.points[:, at])
+        return self.bands[length]
+
+    def near(self, words: np.ndarray, df: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(place in words, place in the vocabulary, distance)`` of all that count, for words of one length."""
+        points, n = _letters(list(words))
+        length = int(n[0])
+        most = most_edits(length)
+        at, df2, n2, signatures, apart, points2 = self.band(length)
+        own = _signatures(points)
+        limit, best = df // OWN_SHARE, np.full(len(words), -1)
+        found: list[tuple] = []
+        active, place, step = np.arange(len(words)), 0, _STEP
+        while len(active) and place < len(at):
+            upto = min(len(at), place + step)
+            turned = np.bitwise_count(own[active, None] ^ signatures[None, place:upto]) + apart[None, place:upto]
+            i, j = np.nonzero(turned <= 2 * most)
+            i, j = active[i], j + place
+            for k in range(0, len(i), _PAIRS):
+                x, y = i[k : k + _PAIRS], j[k : k + _PAIRS]
+                d = _distances(points[:, x], points2[:, y], length, n2[y], most)
+                ok = (d > 0) & (d <= most) & (df2[y] >= limit[x])
+                found.append((x[ok], y[ok], d[ok]))
+                np.maximum.at(best, x[ok], df2[y[ok]])
+            limit = np.maximum(limit, best // BEST_SHARE)
+            place, step = upto, min(2 * step, _STEP_MOST)
+            if place < len(at):
+                active = active[df2[place] >= limit[active]]
+        for x, y, d in found:
+            ok = df2[y] >= limit[x]
+            yield x[ok], at[y[ok]], d[ok]
+
+
 def similar_words(vocabulary: DataFrame, only: list[str] | None = None) -> DataFrame:
     """``(word, similar, dist)`` of ``vocabulary(word, df)``, for all words or those in ``only``.
 
     Within the bound of the word's length, for partners that are not much rarer (a tenth of the word's
     own frequency, a fifth of its most frequent partner's).
     """
-    words = vocabulary.select("word", F.col("df").cast("long").alias("df"), F.length("word").alias("n"))
-    pairs = None
-    for edits, low, high in ((1, 0, 5), (2, 6, 10), (3, 11, 13)):
-        # A word of one band may meet partners of neighbouring lengths; both sides delete as often as the word may.
-        asked = words if only is None else words.where(F.col("word").isin(only))
-        left = asked.where(F.col("n").between(low, high)).select("word", "df", "n", F.explode(variants(F.col("word"), edits)).alias("v"))
-        right = words.where(F.col("n").between(low - edits, high + edits)).select(F.col("word").alias("similar"), F.col("df").alias("df2"), F.col("n").alias("n2"), F.explode(variants(F.col("word"), edits)).alias("v"))
-        near = (F.abs(F.col("n") - F.col("n2")) <= edits) & (F.col("word") != F.col("similar")) & (F.col("df2") >= F.floor(F.col("df") / 10))
-        met = left.join(right, "v").where(near).select("word", "similar", "df2", F.lit(edits).alias("bound")).distinct()
-        pairs = met if pairs is None else pairs.union(met)
-    dist = pairs.withColumn("dist", F.when(F.col("bound") == 1, F.levenshtein("word", "similar", 1)).when(F.col("bound") == 2, F.levenshtein("word", "similar", 2)).otherwise(F.levenshtein("word", "similar", 3)))
-    dist = dist.where("dist > 0").withColumn("best", F.max("df2").over(Window.partitionBy("word")))
-    return dist.where(F.col("df2") >= F.floor(F.col("best") / 5)).select("word", "similar", F.col("dist").cast("int").alias("dist"))
+    spark = vocabulary.sparkSession
+    # One pass over the index serves the shared copy and the words that are asked for.
+    rows = kept(vocabulary.select("word", F.col("df").cast("long").alias("df")), "vocabulary")
+    table = rows.toArrow()
+    df = table["df"].to_numpy()
+    order = np.argsort(-df, kind="stable")
+    shared = spark.sparkContext.broadcast((_joined(table["word"].take(order)), df[order]))
+    key = uuid.uuid4().hex
+    del table, order, df
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            known = _laid(key, shared)
+            b = b.assign(n=b["word"].str.len()).sort_values(["n", "df"], ascending=[True, False])
+            for _, group in b.groupby("n"):
+                words, df = group["word"].to_numpy(object), group["df"].to_numpy()
+                for k in range(0, len(words), _TOGETHER):
+                    some = words[k : k + _TOGETHER]
+                    for x, y, d in known.near(some, df[k : k + _TOGETHER]):
+                        yield pd.DataFrame({"word": some[x], "similar": known.words[y], "dist": d.astype(np.int32)})
+
+    asked = rows if only is None else rows.where(F.col("word").isin(only))
+    return asked.repartitionByRange(partitions(spark), F.length("word"), F.desc("df"), "word").mapInPandas(run, _PAIRS_SCHEMA)
+
+
+def _joined(words: pa.ChunkedArray) -> bytes:
+    """Words as lines of one string, without a Python object for each."""
+    lines = words.combine_chunks().cast(pa.string())
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_buffer().to_pybytes()
+
+
+def _laid(key: str, shared: Broadcast) -> _Vocabulary:
+    if key not in _LAID:
+        _LAID.clear()
+        _LAID[key] = _Vocabulary(*shared.value)
+    return _LAID[key]
 
 
 def average_similar(pairs: DataFrame) -> DataFrame:

@@ -123,6 +123,20 @@ def test_similar_words_are_those_within_the_bound(spark):
     assert got == want
 
 
+def test_similar_words_walk_by_frequency(spark):
+    """Only each word itself is read beside the shared vocabulary: no variants, no join; words beyond ASCII count by letters."""
+    df = {"żółwiątko": 40, "żółwiątka": 20, "żółwiątek": 7, "alpha": 9, "alphb": 9}
+    near = fuzzy.similar_words(spark.createDataFrame(list(df.items()), "word string, df long"))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    turtles = {("żółwiątko", "żółwiątka", 1), ("żółwiątka", "żółwiątko", 1), ("żółwiątek", "żółwiątko", 2), ("żółwiątek", "żółwiątka", 2)}
+    # The third has less than a fifth of the second's best partner, not of the first's.
+    assert {tuple(r) for r in near.collect()} == turtles | {("alpha", "alphb", 1), ("alphb", "alpha", 1)} | {("żółwiątko", "żółwiątek", 2)}
+    assert fuzzy.average_similar(near).first().n_words == 5
+    assert fuzzy.similar_words(spark.createDataFrame([], "word string, df long")).count() == 0
+    assert {r.word for r in fuzzy.similar_words(spark.createDataFrame(list(df.items()), "word string, df long"), ["alpha"]).collect()} == {"alpha"}
+
+
 def test_galaxy_states(spark):
     rows = [("one", "A", None, []), ("same", "A", "p", ["c"]), ("same", "B", "p", ["c"]), ("kids", "A", "p", ["c"]), ("kids", "B", "p", ["c", "d"]), ("up", "A", "p", []), ("up", "B", None, []), ("both", "A", "p", ["c"]), ("both", "B", "q", [])]
     df = spark.createDataFrame(rows, "msgid string, archive string, parent_id string, child_ids array<string>")
