@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from .setops import by_hash
 GRAM, TEXT_MOST, SMOOTH = 4, 3000, 0.1
 MODEL = "feature string, logist double, bwinnow_upper double, bwinnow_lower double, nsnb_spam double, nsnb_ham double, nsnb_confidence double, pam double, pa double, winnow double, hit_spam double, hit_ham double, hit double, nb_spam double, nb_ham double"
 DEFAULTS = {"logist": 0.0, "bwinnow_upper": 2.0, "bwinnow_lower": 1.0, "nsnb_spam": 0.0, "nsnb_ham": 0.0, "nsnb_confidence": 1.0, "pam": 0.0, "pa": 0.0, "winnow": 1.0, "hit_spam": 0.0, "hit_ham": 0.0, "hit": 0.0, "nb_spam": 0.0, "nb_ham": 0.0}
+#: Places of the columns in training.
+_AT = {c: i for i, c in enumerate(DEFAULTS)}
 #: The score above which a message counts as spam, and by how much a classifier's weight moves.
 MARK, WEIGHT_STEP = 0.5, 0.02
 #: Rows of the trained table that hold a classifier's weight; no feature is longer than ``GRAM``.
@@ -55,12 +58,17 @@ def naive_bayes(messages: DataFrame, model: DataFrame, n_spam: int, n_ham: int)
 def predict(messages: DataFrame, model: DataFrame, n_spam: int, n_ham: int, weights: dict[str, float] | None = None) -> DataFrame:
     """``(idx, score)`` and each classifier's score: their weighted mean; unknown features count with the defaults."""
     weights = weights or dict.fromkeys(CLASSIFIERS, 1.0)
-    rows = feature_rows(messages).join(model, "feature", "left").fillna(DEFAULTS)
     seen = F.col("nb_spam") + F.col("nb_ham") > 0
     odds = F.ln((F.col("nb_spam") + SMOOTH) / (F.col("nb_ham") + SMOOTH) * (n_ham + 2 * SMOOTH) / (n_spam + 2 * SMOOTH))
     confident = F.ln((F.col("nsnb_spam") + SMOOTH) / (F.col("nsnb_ham") + SMOOTH) * (n_ham + 2 * SMOOTH) / (n_spam + 2 * SMOOTH) * F.col("nsnb_confidence"))
+    votes = model.select(
+        "feature", (F.col("bwinnow_upper") - F.col("bwinnow_lower")).alias("bwinnow"), F.col("logist").alias("lr"), F.when(seen, odds).alias("nb"),
+        F.when(F.col("nsnb_spam") + F.col("nsnb_ham") > 0, confident).alias("nsnb"), "winnow", "pa", "pam", "hit",
+    )
+    # Every task gets the model, as the training task had it: a message's features stay together and are summed where they are.
+    rows = feature_rows(messages).join(F.broadcast(votes), "feature", "left").fillna({"bwinnow": DEFAULTS["bwinnow_upper"] - DEFAULTS["bwinnow_lower"], "lr": DEFAULTS["logist"], **{c: DEFAULTS[c] for c in ("winnow", "pa", "pam", "hit")}})
     sums = rows.groupBy("idx").agg(
-        (F.avg(F.col("bwinnow_upper") - F.col("bwinnow_lower")) - 1).alias("bwinnow"), (F.sum("logist") / 10).alias("lr"), F.sum(F.when(seen, odds)).alias("nb"), F.sum(F.when(F.col("nsnb_spam") + F.col("nsnb_ham") > 0, confident)).alias("nsnb"),
+        (F.avg("bwinnow") - 1).alias("bwinnow"), (F.sum("lr") / 10).alias("lr"), F.sum("nb").alias("nb"), F.sum("nsnb").alias("nsnb"),
         (F.avg("winnow") - 1).alias("winnow"), F.sum("pa").alias("pa"), (F.sum("pam") / 1.25).alias("pam"), (F.sum("hit") / 60).alias("hit"),
     )
     prior = math.log((n_spam + SMOOTH) / (n_ham + SMOOTH))
@@ -75,20 +83,31 @@ def band(score: Column) -> Column:
     return F.when(score < 0.35, "valid").when(score <= 0.5, "unsure/valid").when(score <= 0.65, "unsure/spam").otherwise("spam")
 
 
-def _scores(own: list[dict[str, float]], n_spam: int, n_ham: int) -> dict[str, float]:
-    """What ``predict`` gives for one message, from the model as it stands in training."""
+def _logistic(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
+
+
+def _sum(x: np.ndarray) -> float:
+    """The sum without the rounding of its order: thresholds are met exactly by messages of new features."""
+    return math.fsum(x.tolist())
+
+
+def _scores(own: np.ndarray, n_spam: int, n_ham: int) -> dict[str, float]:
+    """What ``predict`` gives for one message, from the model as it stands in training: ``own`` has a row for each column."""
 
     def odds(name: str) -> float:
-        seen = [f for f in own if f[f"{name}_spam"] + f[f"{name}_ham"] > 0]
-        scale = (n_ham + 2 * SMOOTH) / (n_spam + 2 * SMOOTH)
-        return sum(math.log((f[f"{name}_spam"] + SMOOTH) / (f[f"{name}_ham"] + SMOOTH) * scale * f.get(f"{name}_confidence", 1.0)) for f in seen) + math.log((n_spam + SMOOTH) / (n_ham + SMOOTH))
+        spam, ham = own[_AT[f"{name}_spam"]], own[_AT[f"{name}_ham"]]
+        seen = spam + ham > 0
+        share = (spam[seen] + SMOOTH) / (ham[seen] + SMOOTH) * ((n_ham + 2 * SMOOTH) / (n_spam + 2 * SMOOTH))
+        return _sum(np.log(share * own[_AT["nsnb_confidence"]][seen] if name == "nsnb" else share)) + math.log((n_spam + SMOOTH) / (n_ham + SMOOTH))
 
-    mean = lambda name: sum(f[name] for f in own) / len(own)
+    total = lambda name: _sum(own[_AT[name]])
+    n = own.shape[1]
     raw = {
-        "bwinnow": mean("bwinnow_upper") - mean("bwinnow_lower") - 1, "lr": sum(f["logist"] for f in own) / 10, "nb": odds("nb") / 3200, "nsnb": odds("nsnb") / 3200,
-        "winnow": mean("winnow") - 1, "pa": sum(f["pa"] for f in own), "pam": sum(f["pam"] for f in own) / 1.25, "hit": sum(f["hit"] for f in own) / 60,
+        "bwinnow": total("bwinnow_upper") / n - total("bwinnow_lower") / n - 1, "lr": total("logist") / 10, "nb": odds("nb") / 3200, "nsnb": odds("nsnb") / 3200,
+        "winnow": total("winnow") / n - 1, "pa": total("pa"), "pam": total("pam") / 1.25, "hit": total("hit") / 60,
     }
-    return {c: 1 / (1 + math.exp(-max(-50.0, min(50.0, raw[c])))) for c in CLASSIFIERS}
+    return {c: _logistic(raw[c]) for c in CLASSIFIERS}
 
 
 def _reweighed(weights: dict[str, float], scores: dict[str, float], spam: bool) -> None:
@@ -110,22 +129,29 @@ def train(labelled: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table: dict[str, dict[str, float]] = {}
+        # A feature's weights are a column of an array that doubles as features come, so a message is a few array operations.
+        place: dict[str, int] = {}
+        table = _fresh(1 << 12)
         weights = dict.fromkeys(CLASSIFIERS, 1.0)
         seen = {"spam": 0, "ham": 0}
         for rows in batches:
             for r in rows.itertuples():
-                own = [table.setdefault(f, dict(DEFAULTS)) for f in r.features]
+                at = np.fromiter((place.setdefault(f, len(place)) for f in r.features), np.int64, len(r.features))
+                while len(place) > table.shape[1]:
+                    table = np.hstack([table, _fresh(table.shape[1])])
                 kind = "spam" if r.spam else "ham"
-                if own:
+                if len(at):
+                    own = table[:, at]
                     _reweighed(weights, _scores(own, seen["spam"], seen["ham"]), bool(r.spam))
                     _learn(own, bool(r.spam))
+                    table[:, at] = own
                 seen[kind] += 1
-        names = [x.split()[0] for x in MODEL.split(", ")]
+        names = ["feature", *DEFAULTS]
         yield pd.DataFrame([{**DEFAULTS, "feature": _WEIGHT + c, "logist": w} for c, w in weights.items()], columns=names)
-        items = list(table.items())
-        for at in range(0, len(items), 10_000):
-            yield pd.DataFrame([{"feature": k, **v} for k, v in items[at : at + 10_000]], columns=names)
+        items = list(place)
+        for k in range(0, len(items), 10_000):
+            some = items[k : k + 10_000]
+            yield pd.DataFrame({"feature": some, **{c: table[i, k : k + len(some)] for c, i in _AT.items()}}, columns=names)
 
     rows = labelled.select("idx", F.col("spam").cast("boolean").alias("spam"), features(F.col("body")).alias("features"))
     learnt = kept(rows.repartition(1).sortWithinPartitions("idx").mapInPandas(run, MODEL), "spam-model")
@@ -134,36 +160,39 @@ def train(labelled: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     return learnt.where(~extra), {c: weights.get(c, 1.0) for c in CLASSIFIERS}
 
 
-def _learn(own: list[dict[str, float]], spam: bool) -> None:
-    sign, kind = (1.0, "spam") if spam else (-1.0, "ham")
-    for f in own:
-        for c in ("nb", "nsnb", "hit"):
-            f[f"{c}_{kind}"] += 1
-        f["hit"] = (f["hit_spam"] - f["hit_ham"]) / (f["hit_spam"] + f["hit_ham"])
+def _fresh(n: int) -> np.ndarray:
+    """The weights of ``n`` new features."""
+    return np.tile(np.array(list(DEFAULTS.values()))[:, None], n)
+
+
+def _learn(own: np.ndarray, spam: bool) -> None:
+    sign, kind, n = (1.0, "spam", own.shape[1]) if spam else (-1.0, "ham", own.shape[1])
+    f = {c: own[i] for c, i in _AT.items()}
+    for c in ("nb", "nsnb", "hit"):
+        f[f"{c}_{kind}"] += 1
+    f["hit"][:] = (f["hit_spam"] - f["hit_ham"]) / (f["hit_spam"] + f["hit_ham"])
+    # Each try moves all features alike, so the sum is carried on and the array moved once.
+    total, moved = _sum(f["logist"]), 0.0
     for _ in range(100):
-        p = 1 / (1 + math.exp(-max(-50.0, min(50.0, sum(f["logist"] for f in own) / 10))))
+        p = _logistic((total + n * moved) / 10)
         if (p > 0.75) == (sign > 0) and abs(p - 0.5) > 0.25:
             break
-        for f in own:
-            f["logist"] += 0.05 * ((sign > 0) - p)
+        moved += 0.05 * ((sign > 0) - p)
+    f["logist"] += moved
     for name, scale in (("pa", 1.0), ("pam", 1.25)):
-        loss = max(0.0, 1 - sign * sum(f[name] for f in own) / scale)
-        for f in own:
-            f[name] += sign * min(1.0, loss / len(own))
+        loss = max(0.0, 1 - sign * _sum(f[name]) / scale)
+        f[name] += sign * min(1.0, loss / n)
     for _ in range(50):
-        if sign * (sum(f["winnow"] for f in own) / len(own) - 1) > 0.1:
+        if sign * (_sum(f["winnow"]) / n - 1) > 0.1:
             break
-        for f in own:
-            f["winnow"] *= 1.1 if sign > 0 else 0.9
+        f["winnow"] *= 1.1 if sign > 0 else 0.9
     for _ in range(50):
-        if sign * (sum(f["bwinnow_upper"] - f["bwinnow_lower"] for f in own) / len(own) - 1) > 0.1:
+        if sign * (_sum(f["bwinnow_upper"] - f["bwinnow_lower"]) / n - 1) > 0.1:
             break
-        for f in own:
-            f["bwinnow_upper"] *= 1.05 if sign > 0 else 0.95
-            f["bwinnow_lower"] *= 0.95 if sign > 0 else 1.05
-    wrong = sign * sum(math.log((f["nsnb_spam"] + SMOOTH) / (f["nsnb_ham"] + SMOOTH)) for f in own) <= 0
-    for f in own:
-        f["nsnb_confidence"] *= (1.02 if sign > 0 else 0.98) if wrong else 1.0
+        f["bwinnow_upper"] *= 1.05 if sign > 0 else 0.95
+        f["bwinnow_lower"] *= 0.95 if sign > 0 else 1.05
+    if sign * _sum(np.log((f["nsnb_spam"] + SMOOTH) / (f["nsnb_ham"] + SMOOTH))) <= 0:
+        f["nsnb_confidence"] *= 1.02 if sign > 0 else 0.98
 
 
 def spam_messages(messages: DataFrame, conn: DataFrame, scores: DataFrame, thread: float | None = None) -> DataFrame:

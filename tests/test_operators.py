@@ -213,6 +213,46 @@ def test_weights_of_classifiers_move(spark):
     assert empty_model.count() == 0 and set(plain.values()) == {1.0}
 
 
+def test_a_message_is_learnt_by_arrays(spark):
+    """Against the rules feature by feature; a long message takes as many steps as a short one, not as many loops over its features."""
+    import math
+    import random
+
+    import numpy as np
+
+    r = random.Random(5)
+    own = np.array([[r.uniform(-1, 1) if c in ("logist", "pa", "pam") else r.uniform(0.8, 1.2) if "winnow" in c or "confidence" in c else float(r.randint(0, 4)) for _ in range(40)] for c in spam.DEFAULTS])
+    one = [dict(zip(spam.DEFAULTS, col, strict=True)) for col in own.T.tolist()]
+    for kind in (True, False, True):
+        sign = 1 if kind else -1
+        spam._learn(own, kind)
+        for f in one:
+            for c in ("nb", "nsnb", "hit"):
+                f[f"{c}_{'spam' if kind else 'ham'}"] += 1
+            f["hit"] = (f["hit_spam"] - f["hit_ham"]) / (f["hit_spam"] + f["hit_ham"])
+        for _ in range(100):
+            p = 1 / (1 + math.exp(-math.fsum(f["logist"] for f in one) / 10))
+            if (p > 0.75) == kind and abs(p - 0.5) > 0.25:
+                break
+            for f in one:
+                f["logist"] += 0.05 * (kind - p)
+        for name, scale in (("pa", 1.0), ("pam", 1.25)):
+            loss = max(0.0, 1 - sign * math.fsum(f[name] for f in one) / scale)
+            for f in one:
+                f[name] += sign * min(1.0, loss / len(one))
+        for _ in range(50):
+            if sign * (math.fsum(f["winnow"] for f in one) / len(one) - 1) > 0.1:
+                break
+            for f in one:
+                f["winnow"] *= 1.1 if kind else 0.9
+        got = {c: own[i] for i, c in enumerate(spam.DEFAULTS)}
+        for c in ("logist", "pa", "pam", "winnow", "hit", "nb_spam", "nsnb_ham"):
+            assert np.allclose(got[c], [f[c] for f in one], rtol=0, atol=1e-12)
+    df = spark.createDataFrame([(0, "buy pills now", True), (1, "meeting notes", False)], "idx long, body string, spam boolean")
+    plan = spam.predict(df, spam.train(df)[0], 1, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [feature" not in plan and "BroadcastHashJoin [feature" in plan
+
+
 def test_charsets_are_told_by_weighed_letters():
     from postloom.operators import mime
 
