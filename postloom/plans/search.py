@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lexicon import hit_rank
@@ -18,10 +18,6 @@ from ..schema import FAR, FUZZY_WEIGHTS, HIT_MASKS, HIT_TYPES, RESULT_HITS
 from ..work import kept
 
 
-#: Fixed value: words that a prefix stands for.
-PREFIX_WORDS = 1024
-
-
 @dataclass(frozen=True)
 class Flags:
     require_all: bool = False
@@ -76,49 +72,45 @@ def parse(query: str, flags: Flags, lowercase: bool = True) -> list[Term]:
 class QueryWords:
     """``rows(word, grp, must, cant, field, mod)`` of the index words that a query's terms stand for, their groups, and the terms without one.
 
-    ``literal`` has the words themselves where all are known on the driver, and ``counts`` how many there are, must and cannot be there.
+    ``scan`` tells them in the index where it can, and ``counts`` has how many there are, must and cannot be there.
     """
 
     rows: DataFrame
     groups: int
     missing: int
-    literal: list[str] | None
+    scan: Column | None
     counts: tuple[int, int, int]
 
 
 def query_words(index: DataFrame, terms: list[Term], flags: Flags, similar: DataFrame | None) -> QueryWords:
     """The words that ``terms`` stand for in ``index``.
 
-    A term makes a group if it brings a word that no earlier term has. Words of a query come to the driver, and of a
-    prefix the first ``PREFIX_WORDS`` in order; one pass over the index finds those of all terms.
+    A term makes a group if it brings a word that no earlier term has. The literal words come to the driver, and of all
+    terms how many words they bring; the words of a prefix, however many, stay in the plan.
     """
     spark = index.sparkSession
-    rows: list[tuple] = []
-    seen: set[str] = set()
-    groups = 0
+    schema = "word string, grp int, must boolean, cant boolean, field string, mod double, strict boolean"
     wanted = reduce(lambda c, t: c | (F.col("word").startswith(t.word) if t.prefix else F.col("word") == t.word), terms, F.lit(False))
     known = index.where(wanted).select("word").distinct()
-    found: dict[int, list[str]] = {}
-    if any(t.prefix for t in terms):
-        asked = spark.createDataFrame([(i, t.word, t.prefix) for i, t in enumerate(terms)], "term int, text string, prefix boolean")
-        named = F.when(F.col("prefix"), F.col("word").startswith(F.col("text"))).otherwise(F.col("word") == F.col("text"))
-        first = known.join(F.broadcast(asked), named).withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy("word"))).where(F.col("place") <= PREFIX_WORDS)
-        for r in first.select("term", "word").collect():
-            found.setdefault(r["term"], []).append(r["word"])
-    elif terms:
-        there = {r["word"] for r in known.collect()}
-        found = {i: [t.word] for i, t in enumerate(terms) if t.word in there}
-    for i, t in enumerate(terms):
-        new = [w for w in sorted(found.get(i, [])) if w not in seen]
-        if not new:
-            continue
-        rows += [(w, groups, t.must, t.cant, t.field, 1.0, t.strict) for w in new]
-        seen.update(new)
-        groups += 1
-    schema = "word string, grp int, must boolean, cant boolean, field string, mod double, strict boolean"
-    words = spark.createDataFrame(rows, schema)
+    open_ = any(t.prefix for t in terms)
+    if open_:
+        # Each word goes to the first term that names it.
+        named = lambda t: F.col("word").startswith(t.word) if t.prefix else F.col("word") == t.word
+        of = F.coalesce(*(F.when(named(t), F.lit(i)) for i, t in enumerate(terms)))
+        known = kept(known.select("word", of.alias("term")), "query-words")
+        brought = {r["term"]: r["n"] for r in known.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    else:
+        there = {r["word"] for r in known.collect()} if terms else set()
+        brought = {i: 1 for i, t in enumerate(terms) if t.word in there and t.word not in {x.word for x in terms[:i]}}
+    rows = [(i, t.word, g, t.must, t.cant, t.field, 1.0, t.strict) for g, (i, t) in enumerate((i, terms[i]) for i in sorted(brought))]
+    groups, counts = len(rows), (sum(brought.values()), sum(brought[r[0]] for r in rows if r[3]), sum(brought[r[0]] for r in rows if r[4]))
+    if open_:
+        asked = spark.createDataFrame([(r[0], *r[2:]) for r in rows], schema.replace("word string", "term int"))
+        words = known.join(F.broadcast(asked), "term").drop("term")
+    else:
+        words = spark.createDataFrame([r[1:] for r in rows], schema)
     if not (flags.fuzzy and similar is not None and rows):
-        return QueryWords(words.drop("strict"), groups, len(terms) - groups, [r[0] for r in rows], (len(rows), sum(r[2] for r in rows), sum(r[3] for r in rows)))
+        return QueryWords(words.drop("strict"), groups, len(terms) - groups, wanted if open_ else F.col("word").isin([r[1] for r in rows]), counts)
     weight = F.element_at(F.array(*(F.lit(w) for w in FUZZY_WEIGHTS)), F.col("dist"))
     near = similar.join(words.where("not strict"), "word").select(F.col("similar").alias("word"), "grp", "must", "cant", "field", weight.alias("mod"), "strict")
     near = near.join(words.select("word"), "word", "left_anti").groupBy("word").agg(F.min(F.struct("grp", "must", "cant", "field", "mod", "strict")).alias("x")).select("word", "x.*")
@@ -160,8 +152,8 @@ def search(index: DataFrame, query: str, flags: Flags | None = None, similar: Da
     words, groups, missing = asked.rows, asked.groups, asked.missing
     field = F.lit(only) if only else F.col("field")
     kind = F.element_at(F.create_map(*(F.lit(x) for i, t in enumerate(HIT_TYPES) for x in (t, i))), field)
-    # Literal words reach the scan: of a stored index, which is sorted by word, only their row groups are read.
-    rows = (index if asked.literal is None else index.where(F.col("word").isin(asked.literal))).join(words, "word")
+    # Words and prefixes reach the scan: of a stored index, which is sorted by word, only their row groups are read.
+    rows = (index if asked.scan is None else index.where(asked.scan)).join(words, "word")
     rows = rows.where(field.isNull() | F.exists("hits", lambda h: h["type"] == kind))
     rows = rows.withColumn("score", _word_score(flags.simple))
     whole, n_must, n_cant = asked.counts
