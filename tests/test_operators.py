@@ -93,6 +93,20 @@ def test_search_ranks(spark):
     assert [tuple(r) for r in near.orderBy("word").collect()] == [("alpha", "alphb", 1), ("alphb", "alpha", 1)]
 
 
+def test_a_prefix_stands_for_all_of_its_words(spark):
+    names = [f"pre{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(1500)]
+    bodies = [b for k in range(0, 1500, 100) for b in [" ".join(names[k : k + 100])] * 2]
+    index = lexicon.postings(messages(spark, [*bodies, "other prefer", "prefer other"], subject=""))
+    run = lambda q: {r.idx: r.rank for r in search.search(index, q, Flags(set_logic=True)).collect()}
+    got = run("pre*")
+    assert set(got) == set(range(32))
+    # A message's rank is the sum over its own words, whichever place they have among those of the prefix.
+    assert got[0] == pytest.approx(got[28]) and got[30] == pytest.approx(run("prefer")[30])
+    # A word counts once, for the first term that names it; a literal beside a prefix still counts.
+    assert run("prefer pre*") == pytest.approx(got) and run("pre* prefer") == pytest.approx(got)
+    assert set(run("+other pre*")) == {30, 31} and set(run("-other pre*")) == set(range(30))
+
+
 def test_similar_words_are_those_within_the_bound(spark):
     import random
 
