@@ -193,6 +193,22 @@ def test_repair_goes_on_until_nothing_is_found(spark):
     assert changed and {r.idx: r.parent for r in got.collect()} == {0: None, **{k: k - 1 for k in range(1, 12)}}
 
 
+def test_links_to_threads_with_a_later_root_stay(spark):
+    # 0 quotes 1, whose date is later; 2, 3 and 4 quote each other in a circle; 5 and 6 quote the same line, which 6 also says itself.
+    bodies = [
+        "> green trains depart early\nI agree wholly", "green trains depart early tomorrow",
+        "> three yellow birds\none purple horse gallops", "> one purple horse\ntwo orange fishes dive", "> two orange fishes\nthree yellow birds sing",
+        "> winter apples taste sweet\nindeed", "> winter apples taste sweet\nwinter apples taste sweet anyway", "someone said winter apples taste sweet today",
+    ]
+    m = messages(spark, bodies, {}, {0: 100, 1: 200, 2: 300, 3: 400, 4: 500, 5: 600, 6: 700, 7: 650})
+    conn = threads.connect(m)
+    got, changed = repair.repair(m, conn, lexicon.postings(m, conn))
+    parent = {r.idx: r.parent for r in got.collect()}
+    assert changed and parent[0] == 1 and parent[1] is None
+    assert sum(parent[i] is None for i in (2, 3, 4)) == 1 and all(parent[i] in (None, want) for i, want in ((2, 4), (3, 2), (4, 3)))
+    assert parent[5] == 6 and parent[6] == 7 and parent[7] is None
+
+
 def test_attributions_inside_quotations(spark):
     cases = [
         (["hi", "> Ann wrote:", "> > deep", "> said", "x"], ["> > deep", "> said", "x"]),
