@@ -75,7 +75,8 @@ def predict(messages: DataFrame, model: DataFrame, n_spam: int, n_ham: int, weig
     rows = messages.select("idx").join(sums, "idx", "left").fillna(0.0)
     raw = {c: (F.col(c) + prior) / 3200 if c in ("nb", "nsnb") else F.col(c) for c in CLASSIFIERS}
     each = rows.select("idx", *(logistic(raw[c]).alias(c) for c in CLASSIFIERS))
-    mean = sum(F.col(c) * weights[c] for c in CLASSIFIERS) / sum(weights.values())
+    shares = _shares(weights)
+    mean = sum(F.col(c) * shares[c] for c in CLASSIFIERS)
     return each.withColumn("score", mean)
 
 
@@ -110,9 +111,16 @@ def _scores(own: np.ndarray, n_spam: int, n_ham: int) -> dict[str, float]:
     return {c: _logistic(raw[c]) for c in CLASSIFIERS}
 
 
+def _shares(weights: dict[str, float]) -> dict[str, float]:
+    """The parts that classifiers have in the mean; equal ones where steps have made the weights' sum zero, which has no mean."""
+    total = sum(weights.values())
+    return {c: w / total if total else 1 / len(weights) for c, w in weights.items()}
+
+
 def _reweighed(weights: dict[str, float], scores: dict[str, float], spam: bool) -> None:
     """A right ensemble takes a step from the classifiers that were wrong, a wrong one gives a step to those that were not below the mark."""
-    mean = sum(scores[c] * weights[c] for c in CLASSIFIERS) / sum(weights.values())
+    shares = _shares(weights)
+    mean = sum(scores[c] * shares[c] for c in CLASSIFIERS)
     right = (mean > MARK) == spam
     for c in CLASSIFIERS:
         if right and (scores[c] > MARK) != spam:

@@ -278,6 +278,10 @@ def test_a_message_is_learnt_by_arrays(spark):
         got = {c: own[i] for i, c in enumerate(spam.DEFAULTS)}
         for c in ("logist", "pa", "pam", "winnow", "hit", "nb_spam", "nsnb_ham"):
             assert np.allclose(got[c], [f[c] for f in one], rtol=0, atol=1e-12)
+    # Weights that many steps have brought to a sum of zero.
+    flat = dict.fromkeys(spam.CLASSIFIERS, 0.0)
+    spam._reweighed(flat, dict.fromkeys(spam.CLASSIFIERS, 0.4), True)
+    assert set(flat.values()) == {0.0} and set(spam._shares(flat).values()) == {1 / 8}
     df = spark.createDataFrame([(0, "buy pills now", True), (1, "meeting notes", False)], "idx long, body string, spam boolean")
     plan = spam.predict(df, spam.train(df)[0], 1, 1)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [feature" not in plan and "BroadcastHashJoin [feature" in plan
