@@ -390,6 +390,14 @@ def test_similar_words_of_the_whole_vocabulary(spark, tmp_path):
     assert got == {("alpha", "alphb", 1), ("alphb", "alpha", 1), ("then", "them", 1), ("them", "then", 1)}
 
 
+def test_average_of_similar_words_has_no_join(spark, tmp_path):
+    from postloom.plans import catalog
+
+    said = [(c, 0, "user", "alpha then gamma") for c in range(2)] + [(2 + c, 0, "user", "alphb them delta") for c in range(2)]
+    got = catalog.QUERIES["lexdist_average"](spark, stored(tmp_path, "conversations", said, "conv_id long, turn long, role string, text string", spark))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString() and tuple(got.first()) == (4, 1.0)
+
+
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
