@@ -367,6 +367,17 @@ def test_archives_from_raw_to_queries(spark, tmp_path):
     assert verify.wrong_totals(broken).count() > 0
 
 
+def test_an_archive_finds_similar_words_without_a_join(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    archive.build(raw_archive(spark), path)
+    a = archive.Archive.open(spark, path)
+    near = fuzzy.similar_words(lexicon.vocabulary(a.index))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    want = {("number0", "number1"), ("number0", "number2"), ("number1", "number0"), ("number1", "number2"), ("number2", "number0"), ("number2", "number1")}
+    assert {(r.word, r.similar) for r in a.similar.collect()} == want == {(r.word, r.similar) for r in near.collect()}
+
+
 def test_arriving_messages_are_merged_once(spark, tmp_path):
     schema = "msgid string, epoch long, body string"
     table, landing = f"{tmp_path}/table", f"{tmp_path}/landing"
