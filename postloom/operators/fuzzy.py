@@ -4,20 +4,17 @@ Only partners at least a fifth as frequent as a word's most frequent one count.
 each word walks down the vocabulary by frequency and stops where that share of the
 first partner found ends; most of the vocabulary is never looked at. On the way,
 signatures of letter counts tell what can be near at all, and a banded distance
-over arrays decides. No pair, variant or segment is ever shuffled: tasks share the
-vocabulary, about twenty bytes a word, and each takes words of its own.
+over arrays decides. No pair, variant or segment is ever shuffled: each task takes
+words of its own and reads the vocabulary past them as a stream of packed blocks,
+so neither the driver nor a task ever holds the vocabulary.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +22,11 @@ from ..work import kept, partitions
 
 #: Shares of a word's own frequency and of its most frequent partner's, below which a partner is left out.
 OWN_SHARE, BEST_SHARE = 10, 5
-#: Words that walk together, places of the first step and of the longest one, and pairs measured at once.
-_TOGETHER, _STEP, _STEP_MOST, _PAIRS = 512, 256, 2048, 1 << 16
+#: Words that walk together, words of a packed block, blocks of the longest step, and pairs measured at once.
+_TOGETHER, _BLOCK, _STEP_MOST, _PAIRS = 128, 512, 4, 1 << 16
 _PAIRS_SCHEMA = "word string, similar string, dist int"
-#: The last vocabulary that this process has laid out.
-_LAID: dict[str, _Vocabulary] = {}
+#: What a task gets: its own words, ``own`` and of frequency ``df``, and the blocks in falling order of frequency.
+_DEALT_SCHEMA = "part int, own boolean, df long, word string, words array<string>, dfs array<long>"
 
 
 def most_edits(length: int) -> int:
@@ -81,50 +78,83 @@ def _distances(a: np.ndarray, b: np.ndarray, length: int, lengths: np.ndarray, m
     return out
 
 
-class _Vocabulary:
-    """Words in falling order of frequency, and for each length what a word of it may be near to."""
-
-    def __init__(self, packed: bytes, df: np.ndarray):
-        self.words = np.array(packed.decode("utf-8").split("\n") if len(df) else [], object)
-        self.df = df
-        self.points, self.n = _letters(list(self.words))
-        self.signatures = _signatures(self.points)
-        self.bands: dict[int, tuple] = {}
-
-    def band(self, length: int) -> tuple:
-        if length not in self.bands:
-            at = np.flatnonzero(np.abs(self.n - length) <= most_edits(length))
-            self.bands[length] = at, self.df[at], self.n[at], self.signatures[at], np.abs(self.n[at] - length).astype(np.uint8), np.ascontiguousarray(self.points[:, at])
-        return self.bands[length]
-
-    def near(self, words: np.ndarray, df: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """``(place in words, place in the vocabulary, distance)`` of all that count, for words of one length."""
-        points, n = _letters(list(words))
-        length = int(n[0])
-        most = most_edits(length)
-        at, df2, n2, signatures, apart, points2 = self.band(length)
-        own = _signatures(points)
-        limit, best = df // OWN_SHARE, np.full(len(words), -1)
-        found: list[tuple] = []
-        active, place, step = np.arange(len(words)), 0, _STEP
-        while len(active) and place < len(at):
-            upto = min(len(at), place + step)
-            turned = np.bitwise_count(own[active, None] ^ signatures[None, place:upto]) + apart[None, place:upto]
-            i, j = np.nonzero(turned <= 2 * most)
-            i, j = active[i], j + place
-            for k in range(0, len(i), _PAIRS):
-                x, y = i[k : k + _PAIRS], j[k : k + _PAIRS]
-                d = _distances(points[:, x], points2[:, y], length, n2[y], most)
-                ok = (d > 0) & (d <= most) & (df2[y] >= limit[x])
-                found.append((x[ok], y[ok], d[ok]))
-                np.maximum.at(best, x[ok], df2[y[ok]])
-            limit = np.maximum(limit, best // BEST_SHARE)
-            place, step = upto, min(2 * step, _STEP_MOST)
-            if place < len(at):
-                active = active[df2[place] >= limit[active]]
-        for x, y, d in found:
-            ok = df2[y] >= limit[x]
-            yield x[ok], at[y[ok]], d[ok]
+class _Walkers:
+    """Words that walk down a vocabulary, those of one length together."""
+
+    def __init__(self, words: np.ndarray, df: np.ndarray):
+        self.words = words
+        self.limit, self.best = df // OWN_SHARE, np.full(len(words), -1)
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        self.groups: list[list] = []
+        for length in np.unique(n):
+            at = np.flatnonzero(n == length)
+            at = at[np.argsort(-df[at], kind="stable")]
+            points, _ = _letters(list(words[at]))
+            self.groups.append([int(length), at, points, _signatures(points)])
+
+    def past(self, words: np.ndarray, df: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The pairs that count with the next ``words``, which are in falling order of frequency and no more frequent than any before."""
+        points2, n2 = _letters(list(words))
+        signatures = _signatures(points2)
+        for group in self.groups:
+            length, at, points, own = group
+            # Words whose limit is passed stop for good.
+            going = df[0] >= self.limit[at]
+            if not going.all():
+                group[1:] = at, points, own = at[going], np.ascontiguousarray(points[:, going]), own[going]
+            most = most_edits(length)
+            near = np.flatnonzero(np.abs(n2 - length) <= most)
+            room, signature, around = (2 * most - np.abs(n2[near] - length)).astype(np.uint8), signatures[near], points2[:, near]
+            pairs = []
+            for k in range(0, len(at) if len(near) else 0, _TOGETHER):
+                turned = np.bitwise_count(own[k : k + _TOGETHER, None] ^ signature[None, :])
+                pairs.append(np.flatnonzero(turned <= room[None, :]) + k * len(near))
+            pairs = np.concatenate(pairs) if pairs else np.empty(0, np.int64)
+            for k in range(0, len(pairs), _PAIRS):
+                x, y = np.divmod(pairs[k : k + _PAIRS], len(near))
+                d = _distances(points[:, x], around[:, y], length, n2[near[y]], most)
+                x, y = at[x], near[y]
+                ok = (d > 0) & (d <= most) & (df[y] >= self.limit[x])
+                x, y, d = x[ok], y[ok], d[ok]
+                # A word's pairs come in falling order of frequency, so its limit is settled by the first of them.
+                np.maximum.at(self.best, x, df[y])
+                self.limit[x] = np.maximum(self.limit[x], self.best[x] // BEST_SHARE)
+                ok = df[y] >= self.limit[x]
+                if ok.any():
+                    yield pd.DataFrame({"word": self.words[x[ok]], "similar": words[y[ok]], "dist": d[ok].astype(np.int32)})
+
+    @property
+    def done(self) -> bool:
+        return not any(len(at) for _, at, _, _ in self.groups)
+
+
+def _walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of each part: its own words come first, then all blocks."""
+    part, own, walkers, ahead, step = None, [], None, [], 1
+    for b in batches:
+        for row in b.itertuples(index=False):
+            if row.part != part:
+                if ahead and walkers:
+                    yield from _step(walkers, ahead)
+                part, own, walkers, ahead, step = row.part, [], None, [], 1
+            if row.own:
+                own.append((row.word, row.df))
+                continue
+            if own:
+                walkers, own = _Walkers(np.array([w for w, _ in own], object), np.array([n for _, n in own], np.int64)), []
+            if walkers is None or walkers.done:
+                continue
+            ahead.append((row.words, row.dfs))
+            if len(ahead) >= step:
+                yield from _step(walkers, ahead)
+                ahead, step = [], min(2 * step, _STEP_MOST)
+    if ahead and walkers:
+        yield from _step(walkers, ahead)
+
+
+def _step(walkers: _Walkers, blocks: list[tuple]) -> Iterator[pd.DataFrame]:
+    words, df = map(np.concatenate, zip(*blocks, strict=True))
+    return walkers.past(words.astype(object), df.astype(np.int64))
 
 
 def similar_words(vocabulary: DataFrame, only: list[str] | None = None) -> DataFrame:
@@ -134,41 +164,23 @@ def similar_words(vocabulary: DataFrame, only: list[str] | None = None) -> DataF
     own frequency, a fifth of its most frequent partner's).
     """
     spark = vocabulary.sparkSession
-    # One pass over the index serves the shared copy and the words that are asked for.
+    parts = partitions(spark) if only is None else max(1, min(partitions(spark), len(only)))
+    # One pass over the index serves the blocks and the words that are asked for.
     rows = kept(vocabulary.select("word", F.col("df").cast("long").alias("df")), "vocabulary")
-    table = rows.toArrow()
-    df = table["df"].to_numpy()
-    order = np.argsort(-df, kind="stable")
-    shared = spark.sparkContext.broadcast((_joined(table["word"].take(order)), df[order]))
-    key = uuid.uuid4().hex
-    del table, order, df
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            known = _laid(key, shared)
-            b = b.assign(n=b["word"].str.len()).sort_values(["n", "df"], ascending=[True, False])
-            for _, group in b.groupby("n"):
-                words, df = group["word"].to_numpy(object), group["df"].to_numpy()
-                for k in range(0, len(words), _TOGETHER):
-                    some = words[k : k + _TOGETHER]
-                    for x, y, d in known.near(some, df[k : k + _TOGETHER]):
-                        yield pd.DataFrame({"word": some[x], "similar": known.words[y], "dist": d.astype(np.int32)})
-
     asked = rows if only is None else rows.where(F.col("word").isin(only))
-    return asked.repartitionByRange(partitions(spark), F.length("word"), F.desc("df"), "word").mapInPandas(run, _PAIRS_SCHEMA)
-
-
-def _joined(words: pa.ChunkedArray) -> bytes:
-    """Words as lines of one string, without a Python object for each."""
-    lines = words.combine_chunks().cast(pa.string())
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_buffer().to_pybytes()
+    own = asked.select(F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int").alias("part"), F.lit(True).alias("own"), "df", "word", F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<long>").alias("dfs"))
 
-
-def _laid(key: str, shared: Broadcast) -> _Vocabulary:
-    if key not in _LAID:
-        _LAID.clear()
-        _LAID[key] = _Vocabulary(*shared.value)
-    return _LAID[key]
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks of words in their order, one for each part, told apart by their first word."""
+        for b in batches:
+            words, df = b["word"].to_numpy(object), b["df"].to_numpy()
+            for k in range(0, len(b), _BLOCK):
+                block = {"own": False, "df": df[k], "word": words[k], "words": [words[k : k + _BLOCK]] * parts, "dfs": [df[k : k + _BLOCK]] * parts}
+                yield pd.DataFrame({"part": np.arange(parts, dtype=np.int32), **block})
+
+    blocks = rows.repartitionByRange(partitions(spark), F.desc("df"), "word").sortWithinPartitions(F.desc("df"), "word").mapInPandas(packed, _DEALT_SCHEMA)
+    dealt = own.union(blocks).repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.desc("own"), F.desc("df"), "word")
+    return dealt.mapInPandas(_walked, _PAIRS_SCHEMA)
 
 
 def average_similar(pairs: DataFrame) -> DataFrame:

@@ -151,6 +151,41 @@ def test_similar_words_walk_by_frequency(spark):
     assert {r.word for r in fuzzy.similar_words(spark.createDataFrame(list(df.items()), "word string, df long"), ["alpha"]).collect()} == {"alpha"}
 
 
+def test_similar_words_leave_the_driver_alone(spark, monkeypatch):
+    """The vocabulary goes past the tasks in blocks of falling frequency; the driver neither collects nor shares it."""
+    import random
+
+    from pyspark import SparkContext
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*a, **k):
+        raise AssertionError("the vocabulary came to the driver")
+
+    r = random.Random(3)
+    df = {"".join(r.choice("abc") for _ in range(r.randint(3, 12))): r.choice([2, 2, 3, 30, 400]) for _ in range(150)}
+    monkeypatch.setattr(fuzzy, "_BLOCK", 7)
+    for name in ("toArrow", "toPandas", "collect", "toLocalIterator"):
+        monkeypatch.setattr(DataFrame, name, refused)
+    monkeypatch.setattr(SparkContext, "broadcast", refused)
+    near = fuzzy.similar_words(spark.createDataFrame(list(df.items()), "word string, df long"))
+    monkeypatch.undo()
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    want = set()
+    for w in df:
+        close = {x: d for x in df if x != w and df[x] >= df[w] // 10 and (d := apart(w, x)) <= fuzzy.most_edits(len(w))}
+        best = max((df[x] for x in close), default=0)
+        want |= {(w, x, d) for x, d in close.items() if df[x] >= best // 5}
+    assert {tuple(x) for x in near.collect()} == want and len(want) > 100
+
+
 def test_galaxy_states(spark):
     rows = [("one", "A", None, []), ("same", "A", "p", ["c"]), ("same", "B", "p", ["c"]), ("kids", "A", "p", ["c"]), ("kids", "B", "p", ["c", "d"]), ("up", "A", "p", []), ("up", "B", None, []), ("both", "A", "p", ["c"]), ("both", "B", "q", [])]
     df = spark.createDataFrame(rows, "msgid string, archive string, parent_id string, child_ids array<string>")
