@@ -85,7 +85,7 @@ def candidates(messages: DataFrame, conn: DataFrame, index: DataFrame) -> DataFr
 def quote_links(conn: DataFrame, found: DataFrame) -> DataFrame:
     """``(idx, parent)``: links of roots to the message that they quote, of ``candidates``, where it is in another thread.
 
-    Of links that close a circle of threads one is left out, as ``break_loops`` cuts; all others stay.
+    Of links that close a circle of threads one can't be a parent, as ``break_loops`` cuts; all others are. ``repair`` returns that one, too.
     """
     root_of = roots(conn).select("idx", "root")
     got = found.join(conn.where("parent is null").select("idx"), "idx").join(root_of.select(F.col("idx").alias("post"), F.col("root").alias("target")), "post").where("target <> idx")
@@ -118,7 +118,8 @@ def apply_links(conn: DataFrame, links: DataFrame) -> DataFrame:
 def repair(messages: DataFrame, conn: DataFrame, index: DataFrame) -> tuple[DataFrame, bool]:
     """The connectivity after links by quotation and by shared references until there is none left, and whether any was found.
 
-    Each link makes a root a child and none is ever cut, so the rounds end.
+    Each link makes a root a child and none is ever cut, so the rounds end. Then a message that quotes another one and is
+    still a root has that one in its own thread: as a parent it would close a circle. ``quotes`` has all links by quotation, these too.
     """
     changed = False
     quotes = kept(candidates(messages, conn, index), "quotes")
@@ -129,4 +130,4 @@ def repair(messages: DataFrame, conn: DataFrame, index: DataFrame) -> tuple[Data
             if not got.isEmpty():
                 conn, found, changed = apply_links(conn, got), True, True
         if not found:
-            return conn, changed
+            return conn.join(quotes.select("idx", F.col("post").alias("quotes")), "idx", "left"), changed

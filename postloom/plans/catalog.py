@@ -774,7 +774,7 @@ def quote_repair(spark: S, d: str) -> DataFrame:
     before = m.select((F.col("idx") + 1).alias("idx"), F.regexp_extract("body", r"^([^\n]*)", 1).alias("said"))
     m = m.join(before, "idx", "left").withColumn("body", F.concat(F.coalesce(F.concat(F.lit("> "), "said", F.lit("\n")), F.lit("")), "body")).withColumn("refs", F.array().cast("array<string>"))
     conn = threads.connect(m)
-    return repair.repair(m, conn, lexicon.postings(m, conn))[0].select("idx", "parent")
+    return repair.repair(m, conn, lexicon.postings(m, conn))[0].select("idx", "parent", "quotes")
 
 
 @_query("SELECT count(*) AS n_messages, count(*) FILTER (parent IS NULL) AS n_toplevel FROM conv")

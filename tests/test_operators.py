@@ -244,6 +244,25 @@ def test_links_to_threads_with_a_later_root_stay(spark):
     assert parent[5] == 6 and parent[6] == 7 and parent[7] is None
 
 
+def test_no_link_by_quotation_is_lost(spark):
+    # 0 and 1 quote each other, 2 and 3 too; 4 quotes 3, and 5 quotes nothing.
+    said = ["green trains depart early", "three yellow birds", "winter apples taste sweet", "one purple horse", "two orange fishes", "nothing here matches"]
+    quoted = {0: 1, 1: 0, 2: 3, 3: 2, 4: 3}
+    bodies = [(f"> {said[quoted[i]]}\n" if i in quoted else "") + f"{s}\nunique{i} ending{i}" for i, s in enumerate(said)]
+    m = messages(spark, bodies, {}, {i: 100 * i for i in range(6)})
+    conn = threads.connect(m)
+    got = repair.repair(m, conn, lexicon.postings(m, conn))[0].collect()
+    assert {r.idx: r.quotes for r in got} == {i: quoted.get(i) for i in range(6)}
+    parent = {r.idx: r.parent for r in got}
+
+    def root(i):
+        return i if parent[i] is None else root(parent[i])
+
+    # What isn't a parent would close a circle, one of each.
+    left = [i for i in quoted if parent[i] is None]
+    assert len(left) == 2 and all(root(quoted[i]) == i for i in left) and all(parent[i] == quoted[i] for i in quoted if i not in left)
+
+
 def test_attributions_inside_quotations(spark):
     cases = [
         (["hi", "> Ann wrote:", "> > deep", "> said", "x"], ["> > deep", "> said", "x"]),
