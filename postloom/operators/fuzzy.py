@@ -5,8 +5,8 @@ each word walks down the vocabulary by frequency and stops where that share of t
 first partner found ends; most of the vocabulary is never looked at. On the way,
 signatures of letter counts tell what can be near at all, and a banded distance
 over arrays decides. No pair, variant or segment is ever shuffled: each task takes
-words of its own and reads the vocabulary past them as a stream of packed blocks,
-so neither the driver nor a task ever holds the vocabulary.
+words of its own and reads the vocabulary past them as packed blocks, in Arrow
+batches, and the driver never has it.
 """
 
 from __future__ import annotations

@@ -432,6 +432,20 @@ def test_an_archive_finds_similar_words_without_a_join(spark, tmp_path):
     assert {(r.word, r.similar) for r in a.similar.collect()} == want == {(r.word, r.similar) for r in near.collect()}
 
 
+def test_an_archive_is_built_without_its_vocabulary_on_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*a, **k):
+        raise AssertionError("the vocabulary came to the driver")
+
+    monkeypatch.setattr(DataFrame, "toArrow", refused)
+    monkeypatch.setattr(SparkContext, "broadcast", refused)
+    archive.build(raw_archive(spark), f"file://{tmp_path}/a")
+    monkeypatch.undo()
+    assert archive.Archive.open(spark, f"file://{tmp_path}/a").similar.count() == 6
+
+
 def test_arriving_messages_are_merged_once(spark, tmp_path):
     schema = "msgid string, epoch long, body string"
     table, landing = f"{tmp_path}/table", f"{tmp_path}/landing"
